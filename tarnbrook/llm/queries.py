@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import ngram_join
+from . import ngram_join, pack, token_io
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,8 +14,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack.pack(_table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = token_io.read_ids(token_io.write_ids(_table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_token_ids": op10_token_ids}
