@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import ngram_join, pack, token_io
+from . import langid, ngram_join, pack, token_io, toxicity
+from .sampling import crc_of_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +24,25 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (F.pmod(crc_of_id(), F.lit(3)) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", (F.pmod(crc_of_id(), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = token_io.read_ids(token_io.write_ids(_table(spark, sf_dir, "documents")))
     return back.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_token_ids": op10_token_ids}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
+    "op6_toxicity": op6_toxicity,
+    "op10_token_ids": op10_token_ids,
+}
