@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import langid, ngram_join, pack, token_io, toxicity
+from . import html_text, langid, ngram_join, pack, token_io, toxicity, warc
 from .sampling import crc_of_id
 
 
@@ -34,6 +34,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.pmod(crc_of_id(), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_pages(_table(spark, sf_dir, "pages"))
+    found = warc.read_records(spark, folder, payload=False).where(F.col("record_type").isin("response", "revisit"))
+    return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = token_io.read_ids(token_io.write_ids(_table(spark, sf_dir, "documents")))
     return back.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -44,5 +54,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_warc": op7_warc,
+    "op8_html_text": op8_html_text,
     "op10_token_ids": op10_token_ids,
 }

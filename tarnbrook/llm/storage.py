@@ -49,3 +49,25 @@ def open_input(path: str):
         system, at = fs.FileSystem.from_uri(path)
         return system.open_input_file(at)
     return open(own, "rb")
+
+
+def list_names(folder: str) -> list[str]:
+    """Names of the files in a folder; none if there is no such folder."""
+    own = _local(folder)
+    if own is None:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder)
+        return [x.base_name for x in system.get_file_info(fs.FileSelector(at, allow_not_found=True)) if x.is_file]
+    return [x.name for x in os.scandir(own) if x.is_file()] if os.path.isdir(own) else []
+
+
+def remove(path: str) -> None:
+    own = _local(path)
+    if own is None:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path)
+        system.delete_file(at)
+    elif os.path.exists(own):
+        os.remove(own)

@@ -17,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+from .ngram_join import shingle_sets
 from .sampling import bounded_sample, crc_of_id
 from .words import chunks, hash_prefix, mix64, span_hash, string_buffers, word_spans
 
 #: Documents of each label in the training sample, and windows that the field is fitted to.
-PER_LABEL, WINDOWS = 8000, 20_000
+PER_LABEL, WINDOWS = 8000, 10_000
 #: Words on each side of a token in a window.
 SIDE = 6
 PREFIXES = (4, 5, 6)
 #: A feature's share among toxic documents must be this many times its share among the others.
-LEAST_ODDS = 10.0
+LEAST_ODDS = 20.0
 _U = np.uint64
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -130,7 +132,7 @@ def _evidence(marginals: np.ndarray) -> float:
     return float(np.clip(np.log(max(some, 1e-9)) - none, -12, 12))
 
 
-def fit_chain(tokens: np.ndarray, labels: np.ndarray, n_features: int, rounds: int = 250, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
+def fit_chain(tokens: np.ndarray, labels: np.ndarray, n_features: int, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and transitions of a two-state field by gradient ascent (Adam) on the likelihood of label
     windows. tokens [windows, words, features of a word] holds feature numbers, -1 for none and -2 in the first
     place for a position outside the text; labels [windows, words] is 0 or 1."""
@@ -179,6 +181,15 @@ def fit_chain(tokens: np.ndarray, labels: np.ndarray, n_features: int, rounds: i
     return theta[:n_features], float(theta[n_features]), theta[n_features + 1 :].reshape(2, 2)
 
 
+def _signed(batches):
+    """Three min-hashes of the five-word shingles of each text: copies and near copies would count one find many
+    times, so of texts with an equal one the sample keeps one."""
+    for b in batches:
+        sets = shingle_sets(*string_buffers(b.column("text")))
+        least = [[int(mix64(x + _U(k * 0x1F3D)).min()) if len(x) else 0 for x in sets] for k in range(1, 4)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), b.column("toxic"), *(pa.array(np.array(x, dtype=_U).view(np.int64)) for x in least)], ["doc_id", "text", "toxic", "s0", "s1", "s2"])
+
+
 def _document_features(batches):
     for b in batches:
         toxic = b.column("toxic").to_pylist()
@@ -280,7 +291,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, window
     known = known.where(F.pmod(crc_of_id(), F.lit(5)) != fold)
     picked = bounded_sample(known, "toxic", per_label, 5)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    sample = src.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    sample = src.join(F.broadcast(picked), "doc_id").mapInArrow(_signed, "doc_id long, text string, toxic int, s0 long, s1 long, s2 long")
+    for i in range(3):
+        sample = sample.dropDuplicates([f"s{i}"])
+    sample = materialize(sample.select("doc_id", "text", "toxic"), "toxic-sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     blank = Field(np.zeros(0, _U), np.zeros(0), -20.0, np.zeros((2, 2)), 1.0, -20.0)
     if not n.get(0) or not n.get(1):
@@ -292,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, window
     gain = 2 * (F.col("n1") * F.log(rate / share) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - rate) / (1 - share))).otherwise(0.0))
     odds = (F.col("n1") + 0.5) / n[1] / ((F.col("n0") + 0.5) / n[0])
     # A chance find among the features of so many documents stays under this.
-    least = 2 * float(np.log(500.0 * (n[0] + n[1])))
+    least = 2 * float(np.log(30.0 * (n[0] + n[1])))
     chosen = counted.where((F.col("n1") >= 3) & (odds >= LEAST_ODDS) & (gain >= least)).select("feature").toPandas()
     features = np.sort(chosen["feature"].to_numpy(dtype=np.int64).view(_U))
     if not len(features):
@@ -307,15 +321,20 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, window
     field = Field(features, weights, bias, moves, 1.0, 0.0)
     scored = sample.select("doc_id", "text").mapInArrow(_tag(spark.sparkContext.broadcast(field), False), "doc_id long, score double").join(F.broadcast(picked), "doc_id").select("score", "toxic").toPandas()
     x, y = np.log(np.clip(scored["score"], 1e-9, 1 - 1e-9) / (1 - np.clip(scored["score"], 1e-9, 1 - 1e-9))).to_numpy(), scored["toxic"].to_numpy(dtype=float)
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    slope, shift = 1.0, 0.0
-    for _ in range(300):
-        p = 1 / (1 + np.exp(-np.clip(slope * x + shift, -50, 50)))
-        slope += 0.05 * ((weight * (y - p) * x).sum() - 1e-3 * slope)
-        shift += 0.05 * (weight * (y - p)).sum() * 4
+    slope, shift = _logistic(x, y)
     return Field(features, weights, bias, moves, max(slope, 0.05), shift)
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Slope and shift by Newton's method with a small ridge."""
+    z, at = np.stack((x, np.ones(len(x)))), np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(at @ z, -50, 50)))
+        bend = (z * (p * (1 - p))) @ z.T + ridge * np.eye(2)
+        at = at + np.clip(np.linalg.solve(bend, z @ (y - p) - ridge * (at - [1.0, 0.0])), -2, 2)
+    return float(at[0]), float(at[1])
+
+
 def score(docs: DataFrame, labels: DataFrame | None = None, field: Field | None = None, text: str = "text") -> DataFrame:
     """(doc_id, score, spans): how likely a text is toxic (0 to 1), and the code point offsets of the tagged words with
     their marginal probabilities.
