@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, release
+from .common import forget_shuffles, materialize, partitions_for
 from .graph import connected_components
 from .words import chunks, hash_prefix, mix64, span_hash, string_buffers, word_spans
 
@@ -302,6 +302,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str
     blocks = src.select("text").mapInArrow(_postings(words, "text", shared, n_blocks, n_blocks), "to int, kind int, body binary")
     counted = blocks.repartition(n_blocks, "to").mapInArrow(_count_columns(n_blocks), "to int, kind int, body binary")
     rows = materialize(counted.repartition(n_blocks, "to").mapInArrow(_rows(percent), "key long, n long, prefix int, columns array<long>"), "ngram-rows")
+    del blocks, counted
+    forget_shuffles(spark)
     postings = materialize(rows.select("key", "n", (F.col("n") - F.size("columns")).alias("alone"), F.posexplode(F.slice("columns", F.lit(1), F.col("prefix"))).alias("pos", "col")).select("col", "key", "n", (F.col("alone") + F.col("pos")).cast("int").alias("pos")), "ngram-postings")
 
     alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
@@ -328,9 +330,19 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str
         links = found if links is None else links.union(found)
         labels = connected_components(links)
 
+    forget_shuffles(spark)
     keyed = per_doc.where("key is not null")
     own = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
     named = own.join(labels, own.key == labels.node, "left").select("key", "least", F.coalesce("label", "key").alias("label"))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_key = named.join(groups, "label").select("key", "component_id")
     return keyed.join(by_key, "key").select("doc_id", "n_shingles", "component_id").unionByName(per_doc.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each group, that with the smallest doc_id; of its repeated rows one. Rows without doc_id can't be
+    told apart and stay. The columns as they came."""
+    groups = jaccard_groups(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    found = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
+    return found.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
