@@ -125,9 +125,12 @@ def _pack(source, level: int, length: int, open_bins: int, last: bool):
 
 def _tokenised(path: str, length: int):
     def source(b):
-        texts = b.column("text").to_pylist()
-        for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder(path).encode(texts)):
-            yield from pieces_of(doc_id, ids, length)
+        doc_ids = iter(b.column("doc_id").to_pylist())
+        for ids, sizes in encoder(path).encode(b.column("text")):
+            body, at = ids.tobytes(), 0
+            for n in (4 * sizes).tolist():
+                yield from pieces_of(next(doc_ids), body[at : at + n], length)
+                at += n
 
     return source
 

@@ -87,17 +87,20 @@ def read_shard(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(doc_ids.tolist(), null)], lengths, id_of[decode_ranks(control, data, n)]
 
 
-#: Ids of a shard, and documents handled together.
-SHARD_IDS, GROUP = 4_000_000, 500
+#: Ids of a shard.
+SHARD_IDS = 4_000_000
 
 
 def _encode(path: str, width: str):
     def run(batches):
         for b in batches:
-            for i in range(0, len(b), GROUP):
-                part = b.slice(i, GROUP)
-                ids = encoder(path).encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), pa.array([np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids], pa.binary())], ["part", "doc_id", "ids"])
+            at = 0
+            for ids, sizes in encoder(path).encode(b.column("text")):
+                part = b.slice(at, len(sizes))
+                at += len(sizes)
+                ends = np.concatenate(([0], np.cumsum(sizes))) * np.dtype(width).itemsize
+                own = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(width).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), own], ["part", "doc_id", "ids"])
 
     return run
 

@@ -28,7 +28,7 @@ def _byte_values(fold: bool) -> np.ndarray:
     return values
 
 
-_FOLDED = _byte_values(True)
+_FOLDED, _PLAIN = _byte_values(True), _byte_values(False)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -83,11 +83,11 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tup
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_prefix(raw: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash() takes the hash of any span; A-Z counts as a-z."""
+def hash_prefix(raw: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Prefix sums from which span_hash() takes the hash of any span; with `fold` A-Z counts as a-z."""
     up, _ = _powers(len(raw) + 1)
     out = np.zeros(len(raw) + 1, dtype=_U)
-    np.cumsum(_FOLDED[raw] * up[: len(raw)], out=out[1:])
+    np.cumsum((_FOLDED if fold else _PLAIN)[raw] * up[: len(raw)], out=out[1:])
     return out
 
 
