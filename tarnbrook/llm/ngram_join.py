@@ -34,7 +34,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = False
 #: A column held by this share of a task's rows is called frequent. Their number is at most shingles per row / share.
 FREQUENT = 1 / 64
 #: Hashes held before a task emits its blocks: bounds its memory, not its work.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[np.ndarray]:
@@ -304,26 +304,25 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str
     rows = materialize(counted.repartition(n_blocks, "to").mapInArrow(_rows(percent), "key long, n long, prefix int, columns array<long>"), "ngram-rows")
     del blocks, counted
     forget_shuffles(spark)
-    postings = materialize(rows.select("key", "n", (F.col("n") - F.size("columns")).alias("alone"), F.posexplode(F.slice("columns", F.lit(1), F.col("prefix"))).alias("pos", "col")).select("col", "key", "n", (F.col("alone") + F.col("pos")).cast("int").alias("pos")), "ngram-postings")
+    postings = materialize(rows.select("key", "n", (F.col("n") - F.size("columns")).alias("alone"), F.posexplode(F.slice("columns", F.lit(1), F.col("prefix"))).alias("pos", "col")).select("col", "key", "n", "alone", (F.col("alone") + F.col("pos")).cast("int").alias("pos")), "ngram-postings")
 
-    alike = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
+    room = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
     labels = links = None
     for turn in range(star_rounds + 1):
-        open_ = postings
+        named = postings.withColumn("label", F.col("key")) if labels is None else postings.join(labels, postings.key == labels.node, "left").select("col", "key", "n", "pos", "alone", F.coalesce("label", "key").alias("label"))
+        open_ = named
         if labels is not None:
-            named = postings.join(labels, postings.key == labels.node, "left").select("col", "key", "n", "pos", F.coalesce("label", "key").alias("label"))
             mixed = named.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("col")
             open_ = named.join(mixed, "col")
-        else:
-            open_ = open_.withColumn("label", F.col("key"))
         if turn < star_rounds:
-            rank = F.xxhash64("key", F.lit(turn)) if turn else F.col("key")
+            # Rows with few columns of their own lie in the middle of their group; later rounds try others.
+            rank = F.col("alone") / F.col("n") if turn == 0 else F.xxhash64("key", F.lit(turn))
             pivot = open_.groupBy("col").agg(F.min(F.struct(rank.alias("r"), "key", "n", "label")).alias("p")).select("col", F.col("p.key").alias("key2"), F.col("p.n").alias("n2"), F.col("p.label").alias("label2"))
             pairs = open_.join(pivot, "col").where((F.col("label") != F.col("label2")) & alike)
         else:
             other = open_.select("col", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("pos").alias("pos2"))
-            need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
-            room = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
             pairs = open_.join(other, "col").where((F.col("label") < F.col("label2")) & alike & (room >= need))
         pairs = pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
         found = materialize(_linked(pairs, rows, percent), "ngram-links")
