@@ -34,7 +34,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = False
 #: A column held by this share of a task's rows is called frequent. Their number is at most shingles per row / share.
 FREQUENT = 1 / 64
 #: Hashes held before a task emits its blocks: bounds its memory, not its work.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[np.ndarray]:
@@ -222,6 +222,7 @@ def _count_columns(n_rows: int):
         keep[1:] |= same
         keep[:-1] |= same
         h, k = h[keep], k[keep]
+        del same, keep, order
         order = np.lexsort((k, h))
         h, k = h[order], k[order]
         fresh = np.ones(len(h), bool)
