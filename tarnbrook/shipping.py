@@ -12,8 +12,15 @@ from pyspark.sql import SparkSession
 _SENT: set[str] = set()
 
 
+#: Rows of an Arrow batch: texts are long, so Spark's default would make batches of many megabytes.
+ARROW_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Adds a zip of the package to the session's Python path, once for each application."""
+    """Adds a zip of the package to the session's Python path, once for each application, and keeps Arrow batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _SENT:
         return
