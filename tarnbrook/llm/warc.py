@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
 from . import storage
-from .common import new_path
+from .common import materialize, new_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 #: The header of each header column, and the profile of a revisit.
@@ -221,14 +221,15 @@ def register(spark: SparkSession) -> None:
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): of pages with equal payloads of at least `least_bytes`, all but the one
-    with the smallest page_id refer to it. Only digests and ids are grouped and joined on the digest; payloads move
-    at most once, by page."""
+    with the smallest page_id refer to it. Only digests and ids are grouped and joined on the digest. The list of pages
+    that refer to others is written first, so that Spark knows its size when it joins the payloads with it: it is
+    broadcast below the session's limit, and only beyond that payloads move, once, by page."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
-    ids = src.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= least_bytes)
+    ids = src.select("page_id", F.unhex(F.sha1("payload")).alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= least_bytes)
     first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where(F.col("last") > F.col("refers_to")).select("digest", "refers_to")
     later = ids.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", F.col("digest").alias("same"), "refers_to").distinct()
-    own = src.withColumn("same", F.sha1("payload"))
-    return own.join(later, ["page_id", "same"], "left").select("page_id", "url", "payload", "refers_to")
+    own = src.withColumn("same", F.unhex(F.sha1("payload")))
+    return own.join(materialize(later, "warc-revisits"), ["page_id", "same"], "left").select("page_id", "url", "payload", "refers_to")
 
 
 def write_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> str:
