@@ -1,2 +1,292 @@
+"""The driver's queries over documents made from its tables, and the SQL they must agree with."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+from urllib.parse import urlparse
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.envelope import DISPLAY, display
+from ..operators import fold, ops
+from ..store import DocumentStore
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _root(spark: SparkSession) -> str:
+    """A folder for the stores of a query: in the cluster's shared folder where one is set."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
+    path = urlparse(shared).path if shared.startswith(("file:", "/")) else ""
+    if not path:
+        return tempfile.mkdtemp()
+    os.makedirs(path, exist_ok=True)
+    return tempfile.mkdtemp(dir=path)
+
+
+def _kv(df: DataFrame, key: str, hashed: str, data: str = "'{}'") -> DataFrame:
+    return df.select(F.col(key).cast("string").alias("id"), F.sha2(F.col(hashed).cast("string"), 256).alias("hash"), F.expr(data).alias("data_json"))
+
+
+def orders(spark, d) -> DataFrame:
+    return _kv(_read(spark, d, "orders"), "o_orderkey", "o_orderpriority", """concat('{"status":"', o_orderstatus, '"}')""")
+
+
+def customers(spark, d) -> DataFrame:
+    return _kv(_read(spark, d, "customer"), "c_custkey", "c_name", """concat('{"segment":"', c_mktsegment, '"}')""")
+
+
+def suppliers(spark, d) -> DataFrame:
+    return _kv(_read(spark, d, "supplier"), "s_suppkey", "s_name", """concat('{"nation":', s_nationkey, '}')""")
+
+
+_ORDERS = """select cast(o_orderkey as varchar) as id, sha256(o_orderpriority) as hash, '{"status":"' || o_orderstatus || '"}' as data_json from orders"""
+_CUSTOMERS = """select cast(c_custkey as varchar) as id, sha256(c_name) as hash, '{"segment":"' || c_mktsegment || '"}' as data_json from customer"""
+_SUPPLIERS = """select cast(s_suppkey as varchar) as id, sha256(s_name) as hash, '{"nation":' || s_nationkey || '}' as data_json from supplier"""
+#: Rows of a batch on orders: all keys divisible by 3, and as many new ones.
+_BATCH = "select id, sha256(id) as hash, '{\"new\":true}' as data_json from (select cast(o_orderkey as varchar) as id from orders where o_orderkey % 3 = 0 union all select 'n' || o_orderkey from orders where o_orderkey % 3 = 0)"
+_KEYS = "select cast(o_orderkey as varchar) as id from orders where o_orderkey % 4 = 0 union all select 'x' || o_orderkey from orders where o_orderkey % 4 = 0"
+
+
+def _batch(spark, d) -> DataFrame:
+    third = _read(spark, d, "orders").where("o_orderkey % 3 = 0")
+    ids = third.select(F.col("o_orderkey").cast("string").alias("id")).unionByName(third.select(F.concat(F.lit("n"), "o_orderkey").alias("id")))
+    return ids.select("id", F.sha2("id", 256).alias("hash"), F.lit('{"new":true}').alias("data_json"))
+
+
+def _keys(spark, d) -> DataFrame:
+    some = _read(spark, d, "orders").where("o_orderkey % 4 = 0")
+    return some.select(F.col("o_orderkey").cast("string").alias("id")).unionByName(some.select(F.concat(F.lit("x"), "o_orderkey").alias("id")))
+
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(_ORDERS)
+def get_all_orders(spark, d):
+    return orders(spark, d)
+
+
+@query(f"with kv as ({_CUSTOMERS}) select id, k as place from (select id, (select count(*) from kv b where b.id <= a.id) as k from kv a)")
+def get_all_key_order(spark, d):
+    """Places in key order: a range sort, the count of each range, and the place within it; no single task sees all."""
+    ranged = ops.get_all(customers(spark, d).select("id")).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    return ranged.join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("at") + 1).alias("place"))
+
+
+@query(f"select * from ({_CUSTOMERS}) where id = '42'")
+def get_by_id_hit(spark, d):
+    return ops.get_by_id(customers(spark, d), "42")
+
+
+@query("with keys as (select 'Key' || n_nationkey as id from nation union all select 'key' || n_nationkey from nation where n_nationkey < 10) select p.id, k.id is not null as found from (select 'Key' || n_nationkey as id from nation union all select 'key' || n_nationkey from nation union all select 'KEY' || n_nationkey from nation) p left join keys k using (id)")
+def get_by_id_case_sensitive(spark, d):
+    nation = _read(spark, d, "nation")
+    named = lambda w, df=nation: df.select(F.concat(F.lit(w), "n_nationkey").alias("id"))
+    state = named("Key").unionByName(named("key", nation.where("n_nationkey < 10"))).select("id", F.lit("").alias("hash"), F.lit("{}").alias("data_json"))
+    probes = named("Key").unionByName(named("key")).unionByName(named("KEY"))
+    return ops.get_many(state, probes).select("id", (F.col("status") == "Ok").alias("found"))
+
+
+@query("""select id, case when c.c_custkey is null then 'NotFound' else 'Ok' end as status, case when c.c_custkey is null then 'No model found with id: ' || id else 'found' end as message
+from (select cast(o_custkey * 2 as varchar) as id from orders group by 1) p left join customer c on cast(c.c_custkey as varchar) = p.id""")
+def get_by_id_response(spark, d):
+    probes = _read(spark, d, "orders").select((F.col("o_custkey") * 2).cast("string").alias("id")).distinct()
+    return ops.get_responses(customers(spark, d), probes)
+
+
+@query(f"{_ORDERS} union all select id, hash, data_json from ({_BATCH}) where id like 'n%'")
+def post_insert_new(spark, d):
+    return ops.post(orders(spark, d), _batch(spark, d).where("id like 'n%'"))
+
+
+@query(f"with b as ({_BATCH}) select * from ({_ORDERS}) where id not in (select id from b) union all select * from b")
+def post_overwrite(spark, d):
+    return ops.post(orders(spark, d), _batch(spark, d))
+
+
+@query("""select cast(l_partkey as varchar) as id, sha256(cast(arg_max(l_orderkey, {'a': l_orderkey, 'b': l_linenumber, 'c': l_suppkey, 'd': l_shipdate}) as varchar)) as hash
+from lineitem group by l_partkey""")
+def post_batch_last_wins(spark, d):
+    rows = _read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("id"), "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    last = ops.last_of_each(rows, ["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"])
+    return last.select("id", F.sha2(F.col("l_orderkey").cast("string"), 256).alias("hash"))
+
+
+@query(f"with b as ({_BATCH}), o as ({_ORDERS}) select * from o where id not in (select id from b) union all select * from b where id in (select id from o)")
+def put_existing_only(spark, d):
+    return ops.put(orders(spark, d), _batch(spark, d))
+
+
+@query(f"with o as ({_ORDERS}) select b.id, case when o.id is null then 'NotFound' else 'Ok' end as status, case when o.id is null then 'Model not found for update' else 'updated' end as message from ({_BATCH}) b left join o using (id)")
+def put_response(spark, d):
+    return ops.put_responses(orders(spark, d), _batch(spark, d))
+
+
+@query(f"select * from ({_ORDERS}) where id not in ({_KEYS})")
+def delete_existing(spark, d):
+    return ops.delete(orders(spark, d), _keys(spark, d))
+
+
+@query(f"with o as ({_ORDERS}) select k.id, case when o.id is null then 'NotFound' else 'Ok' end as status, case when o.id is null then 'No record found with id: ' || k.id else 'Record deleted successfully' end as message from ({_KEYS}) k left join o using (id)")
+def delete_response(spark, d):
+    return ops.delete_responses(orders(spark, d), _keys(spark, d))
+
+
+@query("select count(*) as cleared from supplier")
+def clear_count(spark, d):
+    return ops.clear(suppliers(spark, d))
+
+
+def _supplier_log(spark, d) -> DataFrame:
+    """A post of every supplier, a clear, then a post of those with an even key."""
+    s = _read(spark, d, "supplier")
+    kv = lambda df, seq: _kv(df, "s_suppkey", "s_name").select(F.expr(seq).cast("long").alias("seq"), F.lit("post").alias("op"), "id", "hash", "data_json")
+    clear = spark.createDataFrame([(1_000_000_000, "clear", None, None, None)], "seq long, op string, id string, hash string, data_json string")
+    return kv(s, "cast(id as long)").unionByName(clear).unionByName(kv(s.where("s_suppkey % 2 = 0"), "1000000001 + cast(id as long)"))
+
+
+@query("select cast(s_suppkey as varchar) as id, sha256(s_name) as hash from supplier where s_suppkey % 2 = 0")
+def clear_then_post(spark, d):
+    return fold.state_with_clear(_supplier_log(spark, d)).select("id", "hash")
+
+
+@query("select 'region' as store, cast(r_regionkey as varchar) as id, sha256(r_name) as hash from region")
+def reset_keeps_target(spark, d):
+    """A store of nations is reset to the name of a store of regions: its own documents go, the target's stay."""
+    root = _root(spark)
+    target, source = DocumentStore.init(spark, "region", root), DocumentStore.init(spark, "nation", root)
+    for store, table, key, name in ((target, "region", "r_regionkey", "r_name"), (source, "nation", "n_nationkey", "n_name")):
+        store.apply(_kv(_read(spark, d, table), key, name).withColumn("seq", F.lit(0)), "post")
+    source.reset_database("region")
+    return source.get().select(F.lit(source.name).alias("store"), "id", "hash")
+
+
+def _event_log(spark, d) -> DataFrame:
+    op = F.expr("case event_type when 'signup' then 'post' when 'error' then 'delete' when 'purchase' then 'get' else 'put' end")
+    return _read(spark, d, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("string").alias("id"), F.sha2("props", 256).alias("hash"), F.col("props").alias("data_json"))
+
+
+_LOG = "select event_id as seq, case event_type when 'signup' then 'post' when 'error' then 'delete' when 'purchase' then 'get' else 'put' end as op, cast(user_id as varchar) as id, sha256(props) as hash, props as data_json from events"
+
+
+def _state_sql(log: str) -> str:
+    return f"""select id, v.h as hash, v.d as data_json from (
+  select id, arg_max(op, seq) filter (op in ('post', 'delete')) as e, arg_max({{'h': hash, 'd': data_json}}, seq) filter (op in ('post', 'put')) as v
+  from ({log}) group by id) where e = 'post'"""
+
+
+@query(_state_sql(_LOG))
+def oplog_replay(spark, d):
+    return fold.state(_event_log(spark, d))
+
+
+@query(f"""select seq, op, id, case when op = 'post' or last = 'post' then 'Ok' else 'NotFound' end as status from (
+  select *, last_value(case when op in ('post', 'delete') then op end ignore nulls) over (partition by id order by seq rows between unbounded preceding and 1 preceding) as last from ({_LOG}))""")
+def oplog_responses(spark, d):
+    return fold.responses(_event_log(spark, d))
+
+
+@query(_state_sql(f"{_LOG} where event_id > (select max(event_id) * 9 // 10 from events)"))
+def oplog_replay_with_clear(spark, d):
+    events = _event_log(spark, d)
+    clear = events.agg(F.expr("max(seq) * 9 div 10").alias("seq")).select("seq", F.lit("clear").alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("id", "hash", "data_json")])
+    return fold.state_with_clear(events.unionByName(clear))
+
+
+@query(_state_sql(f"{_LOG} where event_id <= 5000"))
+def snapshot_as_of(spark, d):
+    return fold.as_of(_event_log(spark, d), 5000)
+
+
+@query(_state_sql(_LOG))
+def snapshot_and_tail(spark, d):
+    log = _event_log(spark, d)
+    return fold.state(fold.with_snapshot(fold.as_of(log, 137), log.where("seq > 137")))
+
+
+_CORRUPT = "select cast(event_id as varchar) as id, case when event_id % 10 = 0 then substr(props, 1, length(props) - 1) when event_id % 10 = 1 then substr(props, 1, 3) else props end as data_json from events"
+
+
+def _corrupt(spark, d) -> DataFrame:
+    data = F.expr("case when event_id % 10 = 0 then substr(props, 1, length(props) - 1) when event_id % 10 = 1 then substr(props, 1, 3) else props end")
+    return _read(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), data.alias("data_json"))
+
+
+@query(f"select * from ({_CORRUPT}) where json_valid(data_json)")
+def scan_skips_corrupt(spark, d):
+    return ops.valid_rows(_corrupt(spark, d))
+
+
+@query(f"with s as ({_CORRUPT}) select p.id, case when s.id is null then 'NotFound' when json_valid(s.data_json) then 'Ok' else 'DatabaseError' end as status from (select cast(event_id * 2 as varchar) as id from events) p left join s using (id)")
+def lookup_corrupt_is_error(spark, d):
+    probes = _read(spark, d, "events").select((F.col("event_id") * 2).cast("string").alias("id"))
+    return ops.lookup_strict(_corrupt(spark, d), probes)
+
+
+@query("""select doc_id, case when text is null or strlen(text) = 0 or strlen(text) > 511 then 'DatabaseError' else 'Ok' end as status,
+case when text is null or strlen(text) = 0 or strlen(text) > 511 then 'Value size is invalid' else '' end as message from documents""")
+def key_validation(spark, d):
+    return ops.check_keys(_read(spark, d, "documents").select("doc_id", F.col("text").alias("id"))).select("doc_id", "status", "message")
+
+
+_STATUS = "case o_orderkey % 6 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(DISPLAY)) + " end"
+_WORDS = "case o_orderkey % 6 " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(DISPLAY.values())) + " end"
+
+
+@query(f"select o_orderkey, {_WORDS} || ': ' || o_orderpriority as shown from orders")
+def envelope_display(spark, d):
+    return _read(spark, d, "orders").select("o_orderkey", display(F.expr(_STATUS), F.col("o_orderpriority")).alias("shown"))
+
+
+@query(f"select o_orderkey, '{{\"' || {_STATUS} || '\":\"' || o_orderpriority || '\"}}' as envelope from orders")
+def envelope_json_text(spark, d):
+    from ..functions.envelope import envelope_json
+
+    return _read(spark, d, "orders").select("o_orderkey", envelope_json(F.expr(_STATUS), F.col("o_orderpriority")).alias("envelope"))
+
+
+@query(f"select 'customer' as store, * from ({_CUSTOMERS}) union all select 'supplier', * from ({_SUPPLIERS})")
+def store_isolation(spark, d):
+    root = _root(spark)
+    out = None
+    stores = {"customer": customers, "supplier": suppliers}
+    opened = {name: DocumentStore.init(spark, name, root) for name in stores}
+    for name, make in stores.items():
+        opened[name].apply(make(spark, d).withColumn("seq", F.lit(0)), "post")
+    for name, store in opened.items():
+        own = store.get().select(F.lit(name).alias("store"), "id", "hash", "data_json")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("select cast(p_partkey as varchar) as id, sha256(p_name) as hash, '{\"size\":' || p_size || '}' as data_json from part")
+def reopen_persistence(spark, d):
+    root = _root(spark)
+    store = DocumentStore.init(spark, "part", root)
+    store.apply(_kv(_read(spark, d, "part"), "p_partkey", "p_name", "concat('{\"size\":', p_size, '}')").withColumn("seq", F.lit(0)), "post")
+    store.close_database()
+    return DocumentStore.init(spark, "part", root).get()
+
+
+@query("select cast(event_id as varchar) as id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def variant_view(spark, d):
+    state = _read(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.lit("").alias("hash"), F.col("props").alias("data_json"))
+    return ops.variants(state).select("id", F.variant_get("data", "$.k", "long").alias("k"))
