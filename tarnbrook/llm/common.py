@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
 import tempfile
@@ -51,3 +53,22 @@ def partitions_for(df: DataFrame, factor: float = 1.0) -> int:
     """Partitions of a shuffle whose volume is in proportion to the input: follows the number of input splits."""
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(conf, int(factor * df.rdd.getNumPartitions()))
+
+
+def trimmed(run):
+    """An Arrow function whose worker gives the memory it has freed back to the system when a task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+
+    return wrapped

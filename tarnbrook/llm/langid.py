@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .sampling import bounded_sample, crc_of_id
 
 #: Documents for each language in the training sample; slots of the trigram table; cost of a change of language.
@@ -204,7 +205,7 @@ def _count(slot_count: int):
                 slot, n = np.concatenate((at, slot_count + np.arange(N_SCRIPTS))), np.concatenate((found[at], scripts))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot)), pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "slot", "n"])
 
-    return run
+    return trimmed(run)
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", fold: int = 1) -> Model:
@@ -239,7 +240,7 @@ def _predict(model, switch: float):
                 rows = [[{"first_word": a, "words": n, "lang": l} for a, n, l in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(rows, kinds)], ["doc_id", "lang_pred", "score", "spans"])
 
-    return run
+    return trimmed(run)
 
 
 def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH, text: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget_shuffles, materialize, partitions_for
+from .common import forget_shuffles, materialize, partitions_for, trimmed
 from .graph import connected_components
 from .words import chunks, hash_prefix, mix64, span_hash, string_buffers, word_spans
 
@@ -107,7 +107,7 @@ def _scan(words: int, texts: str):
         if held:
             yield blank(*frequent())
 
-    return run
+    return trimmed(run)
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -191,7 +191,7 @@ def _postings(words: int, texts: str, frequent, n_cols: int, n_rows: int):
         if held:
             yield from flush()
 
-    return run
+    return trimmed(run)
 
 
 def _count_columns(n_rows: int):
@@ -235,7 +235,7 @@ def _count_columns(n_rows: int):
         if blocks:
             yield _block_rows(blocks, [1] * len(blocks), bodies)
 
-    return run
+    return trimmed(run)
 
 
 def _rows(percent: int):
@@ -271,7 +271,7 @@ def _rows(percent: int):
             ends = np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2000], pa.int64()), pa.array(sizes[i : i + 2000], pa.int64()), pa.array(prefix[i : i + 2000], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part), pa.int64()))], ["key", "n", "prefix", "columns"])
 
-    return run
+    return trimmed(run)
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:

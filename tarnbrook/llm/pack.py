@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 from .tokens import default_path, encoder
 
 LENGTH, OPEN_BINS, FAN_IN = 2048, 512, 32
@@ -120,7 +120,7 @@ def _pack(source, level: int, length: int, open_bins: int, last: bool):
             out.put(items, not last)
         yield from out.batches(0)
 
-    return run
+    return trimmed(run)
 
 
 def _tokenised(path: str, length: int):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import storage
-from .common import materialize, new_path, partitions_for
+from .common import materialize, new_path, partitions_for, trimmed
 from .tokens import default_path, encoder
 
 MAGIC, VERSION = b"RANKIDS\0", 1
@@ -102,7 +102,7 @@ def _encode(path: str, width: str):
                 own = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(width).tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), own], ["part", "doc_id", "ids"])
 
-    return run
+    return trimmed(run)
 
 
 def _write(folder: str, width: str, most: int):
@@ -132,7 +132,7 @@ def _write(folder: str, width: str, most: int):
         cols = list(zip(*made)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["path", "part", "seq", "documents", "n_ids"])
 
-    return run
+    return trimmed(run)
 
 
 def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, text: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
