@@ -14,8 +14,8 @@ from ..schema import NOT_FOUND, OK
 
 def since_clear(log: DataFrame) -> DataFrame:
     """Entries after the last clear."""
-    last = log.where("op = 'clear'").agg(F.max("seq").alias("cleared"))
-    return log.crossJoin(F.broadcast(last)).where("op <> 'clear' and (cleared is null or seq > cleared)").drop("cleared")
+    cleared = log.where("op = 'clear'").agg(F.coalesce(F.max("seq"), F.lit(-(1 << 62)))).scalar()
+    return log.where((F.col("op") != "clear") & (F.col("seq") > cleared))
 
 
 def state(log: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.envelope import DISPLAY, display
@@ -87,7 +87,8 @@ def get_all_key_order(spark, d):
     """Places in key order: a range sort, the count of each range, and the place within it; no single task sees all."""
     ranged = ops.get_all(customers(spark, d).select("id")).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
     return ranged.join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("at") + 1).alias("place"))
 
 
