@@ -334,7 +334,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str
     keyed = per_doc.where("key is not null")
     own = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
     named = own.join(labels, own.key == labels.node, "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-    groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    # Written apart, so that the join on a hot label is not tied to the aggregate's partitions and can be split.
+    groups = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "ngram-groups")
     by_key = named.join(groups, "label").select("key", "component_id")
     return keyed.join(by_key, "key").select("doc_id", "n_shingles", "component_id").unionByName(per_doc.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
