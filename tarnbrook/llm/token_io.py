@@ -91,16 +91,20 @@ def read_shard(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 SHARD_IDS = 4_000_000
 
 
-def _encode(path: str, width: str):
+def _encode(path: str, width: str, cuts):
+    """Ids of each document, with the range of doc_id that it falls in; documents without doc_id are in the first."""
+
     def run(batches):
         for b in batches:
+            ids_of = b.column("doc_id")
+            part = np.searchsorted(cuts.value, ids_of.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
             at = 0
             for ids, sizes in encoder(path).encode(b.column("text")):
-                part = b.slice(at, len(sizes))
+                here = slice(at, at + len(sizes))
                 at += len(sizes)
                 ends = np.concatenate(([0], np.cumsum(sizes))) * np.dtype(width).itemsize
                 own = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(width).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("part"), part.column("doc_id"), own], ["part", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[here]), ids_of.slice(here.start, len(sizes)), own], ["part", "doc_id", "ids"])
 
     return trimmed(run)
 
@@ -147,10 +151,9 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
     width = "<u2" if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = partitions_for(src)
-    cuts = src.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    part = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))), F.lit(0))
-    ids = src.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int")).mapInArrow(_encode(path, width), "part int, doc_id long, ids binary")
+    found = src.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    cuts = spark.sparkContext.broadcast(np.array(sorted(set(found)), dtype=np.int64))
+    ids = src.mapInArrow(_encode(path, width, cuts), "part int, doc_id long, ids binary")
     ordered = ids.repartition(n, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
     return materialize(ordered.mapInArrow(_write(folder, width, shard_ids), "path string, part int, seq int, documents long, n_ids long"), "token-shards")
 
