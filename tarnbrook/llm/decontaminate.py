@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Word edits allowed for each word of an item; characters of the items of one broadcast block.
 ERROR_RATE, BLOCK_CHARS = 0.2, 8_000_000
 _words = re.compile(r"[^\W_]+").findall
@@ -174,7 +176,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "distance", "first_word", "end_word"])
 
-        one = src.mapInArrow(run, schema)
+        one = src.mapInArrow(trimmed(run), schema)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -189,5 +191,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(t) for t in b.column("text").to_pylist()], pa.bool_())).select(names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

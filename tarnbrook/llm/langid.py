@@ -269,4 +269,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 kept[lo:hi] = [l != NO_LANGUAGE for l in model.value.label(texts[lo:hi])[0]]
             yield b.filter(pa.array(kept)).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 from .ngram_join import shingle_sets
 from .sampling import bounded_sample, crc_of_id
 from .words import chunks, hash_prefix, mix64, span_hash, string_buffers, word_spans
@@ -235,7 +235,7 @@ def _windows(shared, side: int):
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "at", "toxic", "tokens"])
 
-    return run
+    return trimmed(run)
 
 
 def _tag(field, spans: bool):
@@ -264,7 +264,7 @@ def _tag(field, spans: bool):
             cols = [b.column("doc_id"), pa.array(scores)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(found, kinds)] if spans else cols, ["doc_id", "score", "spans"] if spans else ["doc_id", "score"])
 
-    return run
+    return trimmed(run)
 
 
 def _spans(raw, begin: int, place, starts, ends, p) -> list[dict]:
@@ -357,4 +357,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for scored in _tag(field, False)([one]):
                 yield b.filter(pa.array(scored.column("score").to_numpy() < 0.5)).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
