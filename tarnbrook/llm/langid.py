@@ -181,8 +181,11 @@ class Model:
         doc = np.repeat(np.arange(len(texts)), words_of)
         held = np.bincount(doc * n + path, weights=letters, minlength=len(texts) * n).reshape(-1, n)
         total, best = held.sum(axis=1), held.argmax(axis=1)
-        share = held[np.arange(len(texts)), best] / np.maximum(total, 1)
         start = np.concatenate(([0], np.cumsum(words_of)))
+        some = np.flatnonzero(words_of)
+        frame = path[start[some]] == path[start[some + 1] - 1]  # begins and ends in one language: the rest is inserted
+        best[some[frame]] = path[start[some[frame]]]
+        share = held[np.arange(len(texts)), best] / np.maximum(total, 1)
         turn = np.flatnonzero(np.diff(path.astype(np.int16), prepend=-1) | np.diff(doc, prepend=-1))
         size = np.diff(np.append(turn, len(path)))
         spans: list[list[tuple]] = [[] for _ in texts]
@@ -244,8 +247,9 @@ def _predict(model, switch: float):
 
 
 def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH, text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, spans): the language that most letters of a text are labelled with, that share
-    of its letters, and the spans of words by language.
+    """(doc_id, lang_pred, score, spans): the language that a text both begins and ends in (what stands between is
+    taken as inserted), else the one that most of its letters are labelled with; its share of the letters; and
+    the spans of words by language.
 
     A text that is null or has no letter is `und` with score 0 and no spans, and so is every text if nothing could
     be learned. Repeated rows are labelled each; a null doc_id stays null and is not learned from. No rows: an
