@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*+)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_WORD, _CAMEL = re.compile(r"[a-z]+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NO_DISPLAY = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 #: Element names by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,9 +33,15 @@ BLOCK = set(
 #: Words of a class or an id that mark what is not the article.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
-    "gdpr login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related share sharing sidebar "
-    "signup social sponsor sponsored subscribe subscription toolbar widget".split()
+    "gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies respond responses "
+    "share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: How longer words begin or end that mark the same.
+MARK_STARTS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "newsletter", "navbar", "pagination", "sidebar", "sponsor")
+MARK_ENDS = ("comments", "sidebar", "navbar", "footer", "cookies")
+#: Words that make a class name one of state or genre, not of place; whose header a header is.
+STATES = {"has", "with", "without", "no", "open", "closed", "enabled", "disabled", "commentary", "commentaries"}
+OWN_HEADERS = {"article", "post", "entry", "content", "story", "section"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alertdialog", "form", "toolbar"}
 #: Open elements that a start tag ends: (those ended, those that keep them open).
 _LISTS, _TABLE = {"ul", "ol", "menu", "dir"}, {"table"}
@@ -46,18 +53,34 @@ _HOLDS_P = {"td", "th", "table", "caption", "html", "object", "button"}
 _ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
 
 
+def _marked(value: str, tag: str, in_article: bool) -> bool:
+    """Whether a class or id says that an element is not part of the article."""
+    for name in value.split():
+        words = {*_WORD.findall(name.lower()), *(w.lower() for w in _CAMEL.findall(name))}
+        if not STATES.isdisjoint(words):
+            continue
+        if tag == "article":  # an article may be named after anything but comments, and cards that point elsewhere
+            if any(w.startswith("comment") for w in words) or name.lower() in ("related", "ad", "advert", "advertisement", "promo"):
+                return True
+        elif any(w in MARKS or w.startswith(MARK_STARTS) or w.endswith(MARK_ENDS) for w in words):
+            return True
+        elif "header" in words and not in_article and OWN_HEADERS.isdisjoint(words):
+            return True
+    return False
+
+
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in NEVER or (tag == "header" and not in_article):
         return True
-    if not attributes or tag in ("html", "body", "main", "article") and "comment" not in attributes.lower():
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name == "role" and value in ROLES:
+        if name == "role" and value.lower() in ROLES or name == "style" and _NO_DISPLAY.search(value):
             return True
-        if name in ("class", "id") and (not MARKS.isdisjoint(words := _WORD.findall(value)) or "header" in words and not in_article):
+        if name in ("class", "id") and _marked(value, tag, in_article):
             return True
     return False
 
@@ -104,7 +127,7 @@ class Page:
         if tag in ENDS:
             self._end_open(*ENDS[tag])
         up = self._stack[-1]
-        in_article = (tag == "header" or "header" in attributes) and any(self.tag[n] in ("article", "main") for n in self._stack)
+        in_article = (tag == "header" or "header" in attributes.lower()) and any(self.tag[n] in ("article", "main") for n in self._stack)
         self.parent.append(up)
         self.tag.append(tag)
         self.own.append(0)

@@ -142,6 +142,11 @@ HTML = [
     ("<article><p>a<script>var x='</p>'</script>b</p><!-- <p>no</p> --><ul><li>one<li>two</ul><form><p>no</p></form><aside>no</aside><div class='ad'>no</div></article>", "ab\none\ntwo"),
     ("just text &lt;here&gt;", "just text <here>"), ("", ""), (None, ""), (" \n ", ""), ("<nav>only menus</nav>", ""), ("<p>a<p>b", "a\nb"),
     ("<article><header><h1>Title</h1></header><p>x</p></article><header>site</header>", "Title\nx"), ("<div>" * 2000 + "deep", "deep"), ("<p title='a>b'>c</p>", "c"),
+    ("<article><p>See <a href='/hidden/nav' title='the hidden id'>this <i data-id=nav>one</i></a> now.</p></article>", "See this one now."),
+    ("<body class='has-sidebar'><article class='post comments-open'><p>Kept.</p></article><article class='comment'><p>me too</p></article>", "Kept."),
+    ("<div class='layout with-sidebar'><div class='entryHeader'><h1>Head</h1></div><p>A long enough text of the page.</p><div class=userComments><p>no</p></div></div><div id=siteHeader>site</div><div class=pageFooter>foot</div><ol class=commentlist><li>said</ol>", "Head\nA long enough text of the page."),
+    ("<main><article><h1>T</h1><p>The text of it.</p></article><article class=related><p>Another text, of which more.</p></article></main>", "T\nThe text of it."),
+    ("<article><p>a</p><div style='display: none'>b</div><section class=commentary><p>c</p></section></article>", "a\nc"),
 ]
 
 
