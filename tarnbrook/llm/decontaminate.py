@@ -182,7 +182,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The documents without a passage of a test item; the columns as they came."""
+    """The documents without a passage of a test item, as find_leaks() finds them; the columns as they came.
+
+    Null and empty texts stay, and all texts if the benchmark is empty. Repeated rows stay or go together."""
     names = docs.columns
     for block in blocks(benchmark, rate):
 

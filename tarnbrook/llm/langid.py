@@ -261,7 +261,10 @@ def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language could be told; the columns as they came."""
+    """The documents whose language could be told; the columns as they came.
+
+    Null texts and texts without a letter go, and all texts if no row has a text and a language to learn from. Repeated
+    rows stay or go together; a null doc_id stays null. No rows: an empty table."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
     names = docs.columns
 

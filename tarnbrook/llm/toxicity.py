@@ -347,7 +347,10 @@ def score(docs: DataFrame, labels: DataFrame | None = None, field: Field | None
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score under 0.5; the columns as they came."""
+    """The documents that score under 0.5; the columns as they came.
+
+    Null and empty texts stay, as does every text if no label marks a toxic one to learn from. Labels without doc_id or
+    value are left out. Repeated rows stay or go together; a null doc_id stays null. No rows: an empty table."""
     field = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     names = docs.columns
 

@@ -2,9 +2,9 @@
 
 import pytest
 
-from tarnbrook.llm import decontaminate, langid, toxicity
+from tarnbrook.llm import decontaminate, langid, ngram_join, pack, toxicity
 from tests.llm.test_ngram_join import brute
-from tests.llm.util import SCHEMA, clashing
+from tests.llm.util import SCHEMA, clashing, documents
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DATA = "/root/testdata/sf0.001"
@@ -47,3 +47,25 @@ def test_empty_documents(spark):
         table = stage(spark, table, DATA)
         assert table.count() == 0 and table.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[4][1](spark, table, DATA).count() == 0
+
+
+def test_hard_rows(spark):
+    """Nulls, empty and long texts, repeated rows and clashing columns through every filtering stage."""
+    table = clashing(documents(spark))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(90)] + [(None, None, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, None), (None, "x"), (2, documents(spark).where("doc_id = 8").first().text)], "item_id long, text string")
+    count = lambda d: sorted((str(r.doc_id), r.text or "") for r in d.collect())
+    before = count(table)
+    told = langid.keep_identified(table)
+    assert count(told) == [r for r in before if r[0] not in ("3000", "3001", "3002", "3005")]
+    clean = toxicity.keep_clean(table, labels)
+    assert count(clean) == before  # no toxic example: nothing is toxic
+    one = ngram_join.keep_one_of_each(table)
+    kept = count(one)
+    with_id = sorted({r for r in before if r[0] != "None"})
+    least = {c for _, _, c in brute([(int(d), t) for d, t in with_id])}
+    assert kept == sorted([r for r in with_id if int(r[0]) in least] + [r for r in before if r[0] == "None"])
+    free = decontaminate.drop_leaks(table, clashing(items))
+    assert count(free) == [r for r in before if r[0] != "8"]
+    assert told.columns == clean.columns == one.columns == free.columns == table.columns
+    assert {str(r.doc_id) for r in pack.pack(table).select("doc_id").collect()} == {d for d, _ in before}
