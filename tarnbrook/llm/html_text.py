@@ -1,7 +1,9 @@
 """HTML extraction by composite text density.
 
 A tolerant parser builds the tree of a page (raw-text elements, implied end tags, comments). Elements that are never
-article text by their tag or by a class or id word are cut out first. For every other node the density is its
+article text by their tag, and containers whose whole class or id names a known part of a page (`comments`,
+`related-posts`), are cut out first. A class that merely holds such a word (`social-impact`) cuts only outside the
+content, an id that does cuts nothing. For every other node the density is its
 characters per tag, scaled down by the share of its characters and tags that are links; the sum of its children's
 densities peaks at the node that holds the paragraphs. That node, or the enclosing article or main element if there
 is one, is the content; off its path, siblings count as content when their density reaches the threshold, the least
@@ -10,6 +12,7 @@ density on the path from body to the node."""
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 from math import e, log
 
@@ -20,12 +23,15 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*+)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD, _CAMEL = re.compile(r"[a-z]+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_OPTIONS = re.compile(r"(?:\s*</?opt(?:ion|group)\b[^>]*>[^<]*)*+", re.I)
 _NO_DISPLAY = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 #: Element names by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe noembed noframes xmp template svg math select".split())
-NEVER = RAW | set("head nav footer aside form button dialog menu object audio video canvas map datalist".split())
+RAW = set("script style textarea title iframe noembed noframes xmp".split())
+PASSED_OVER = set("noscript template svg select".split())
+CONTAINERS = set("div section article ul ol dl table tr td fieldset figure details center".split())
+NEVER = RAW | PASSED_OVER | set("head nav footer aside form button dialog menu object audio video canvas map datalist".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -39,6 +45,13 @@ MARKS = set(
 #: How longer words begin or end that mark the same.
 MARK_STARTS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "newsletter", "navbar", "pagination", "sidebar", "sponsor")
 MARK_ENDS = ("comments", "sidebar", "navbar", "footer", "cookies")
+#: Words beside a mark in the names of parts of a page.
+PARTS = set(
+    "site page post posts article articles entry entries story stories main top bottom left right center middle inner outer upper lower primary secondary "
+    "global sticky fixed floating mobile desktop section container wrapper wrap box block area region zone panel pane bar row column col list item items "
+    "link links button buttons btn icon icons group holder slot unit form title header heading content body user users reader readers thread toggle tab tabs "
+    "sub wide small large mini horizontal vertical email follow js ui div gpt google dfp wp".split()
+)
 #: Words that make a class name one of state or genre, not of place; whose header a header is.
 STATES = {"has", "with", "without", "no", "open", "closed", "enabled", "disabled", "commentary", "commentaries"}
 OWN_HEADERS = {"article", "post", "entry", "content", "story", "section"}
@@ -53,50 +66,87 @@ _HOLDS_P = {"td", "th", "table", "caption", "html", "object", "button"}
 _ENDS_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
 
 
-def _marked(value: str, tag: str, in_article: bool) -> bool:
-    """Whether a class or id says that an element is not part of the article."""
-    for name in value.split():
+def _is_mark(word: str) -> bool:
+    """Whether a word names a part of a page, alone or written together with other words of such names."""
+    if word in MARKS:
+        return True
+    rest = [word[len(m) :] for m in MARK_STARTS if word.startswith(m)] + [word[: -len(m)] for m in MARK_ENDS if word.endswith(m)]
+    return any(r in ("", "s") or r in PARTS or r in MARKS for r in rest)
+
+
+def _names_part(name: str, tag: str, in_article: bool) -> bool:
+    """Whether a whole class or id names a part of a page that is not the article."""
+    words = [w.lower() for w in _CAMEL.findall(name)]
+    if not name.isascii() or not STATES.isdisjoint(words):
+        return False
+    if tag == "article":
+        words = [w for w in words if w not in MARKS or w.startswith("comment")]
+    marks = [_is_mark(w) or w == "header" and not in_article and OWN_HEADERS.isdisjoint(words) for w in words]
+    return any(marks) and all(m or w in PARTS for m, w in zip(marks, words))
+
+
+@lru_cache(1 << 14)
+def _marked(value: str, tag: str, is_id: bool, in_article: bool) -> int:
+    """Whether a class or id says that an element is not part of the article: 2 by a whole name, 1 by a word."""
+    found = 0
+    for name in [value] if is_id else value.split():
         words = {*_WORD.findall(name.lower()), *(w.lower() for w in _CAMEL.findall(name))}
         if not STATES.isdisjoint(words):
             continue
         if tag == "article":  # an article may be named after anything but comments, and cards that point elsewhere
-            if any(w.startswith("comment") for w in words) or name.lower() in ("related", "ad", "advert", "advertisement", "promo"):
-                return True
-        elif any(w in MARKS or w.startswith(MARK_STARTS) or w.endswith(MARK_ENDS) for w in words):
-            return True
-        elif "header" in words and not in_article and OWN_HEADERS.isdisjoint(words):
-            return True
-    return False
+            hit = any(w.startswith("comment") for w in words)
+            if name.lower() in ("related", "ad", "advert", "advertisement", "promo"):
+                return 2
+        else:
+            hit = any(w in MARKS or w.startswith(MARK_STARTS) or w.endswith(MARK_ENDS) for w in words)
+            hit = hit or "header" in words and not in_article and OWN_HEADERS.isdisjoint(words)
+        if hit and tag in CONTAINERS and _names_part(name, tag, in_article):
+            return 2
+        found = max(found, int(hit and not is_id))
+    return found
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
+    """2: never article text; 1: none outside the content."""
     if tag in NEVER or (tag == "header" and not in_article):
-        return True
+        return 2
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "role" and value.lower() in ROLES or name == "style" and _NO_DISPLAY.search(value):
-            return True
-        if name in ("class", "id") and _marked(value, tag, in_article):
-            return True
-    return False
+            return 2
+        if name in ("class", "id"):
+            found = max(found, _marked(value, tag, name == "id", in_article))
+    return found
+
+
+def _ends_of(tag: str, html: str) -> dict[int, int]:
+    """Where each element of this name that has an end tag of its own ends, by where its start tag ends."""
+    ends, started = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>", html, re.I):
+        if not m[1]:
+            started.append(m.end())
+        elif started:
+            ends[started.pop()] = m.end()
+    return ends
 
 
 class Page:
     """The tree of a page: for each node its parent, tag, and characters of its own; pieces of text in page order."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.own, self.cut = [-1], ["#page"], [0], [False]
+        self.parent, self.tag, self.own, self.mark = [-1], ["#page"], [0], [0]
         self.pieces: list[tuple[int, str]] = []  # (node, text); node -1: a block begins or ends here
         self._stack = [0]
         self._read(html)
 
     def _text(self, s: str) -> None:
         node = self._stack[-1]
-        if self.cut[node]:
+        if self.mark[node] == 2:
             return
         if "&" in s:
             s = unescape(s)
@@ -131,10 +181,13 @@ class Page:
         self.parent.append(up)
         self.tag.append(tag)
         self.own.append(0)
-        self.cut.append(self.cut[up] or _unwanted(tag, attributes, in_article))
+        self.mark.append(2 if self.mark[up] == 2 else _unwanted(tag, attributes, in_article))
+        if tag in ("main", "article") and not self.mark[-1]:  # a part of a page doesn't hold its article
+            for node in self._stack:
+                self.mark[node] = 0
         if tag in BLOCK:
             self.pieces.append((-1, ""))
-        elif tag == "br":
+        elif tag in ("br", "annotation"):
             self.pieces.append((up, " "))
         if tag not in VOID:
             self._stack.append(len(self.tag) - 1)
@@ -150,7 +203,7 @@ class Page:
                 return
 
     def _read(self, html: str) -> None:
-        at, find = 0, _TOKEN.search
+        at, find, ends = 0, _TOKEN.search, {}
         while m := find(html, at):
             if m.start() > at:
                 self._text(html[at : m.start()])
@@ -167,6 +220,13 @@ class Page:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
                 continue
+            if tag in PASSED_OVER:  # without an end tag, only the start tag and options are
+                if tag not in ends:
+                    ends[tag] = _ends_of(tag, html)
+                at = ends[tag].get(at, at)
+                if tag == "select" and at == m.end():
+                    at = _OPTIONS.match(html, at).end()
+                continue
             self._start(tag, attributes)
         if at < len(html):
             self._text(html[at:])
@@ -185,7 +245,12 @@ def extract(html: str | None) -> str:
     """The main text of a page: its blocks in page order, one a line; empty if there is none."""
     page = Page(html or "")
     n = len(page.tag)
-    parent, tag, cut = page.parent, page.tag, page.cut
+    parent, tag, mark = page.parent, page.tag, page.mark
+    cut = [bool(x) for x in mark]
+    for i in range(1, n):
+        cut[i] = cut[i] or cut[parent[i]]
+    if not any(own for own, c in zip(page.own, cut) if not c):
+        cut = [x == 2 for x in mark]
     chars, tags, link_chars, link_tags = list(page.own), [0] * n, [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
         if cut[i]:
@@ -223,7 +288,7 @@ def extract(html: str | None) -> str:
             if parent[i] in on_path and parent[i] != best and i not in on_path and not cut[i] and density[i] >= least > 0:
                 keep[i] = True
     for i in range(1, n):
-        keep[i] = (keep[i] or keep[parent[i]]) and not cut[i]
+        keep[i] = (keep[i] or keep[parent[i]]) and mark[i] < 2
     lines, line = [], []
     for node, s in page.pieces:
         if node < 0:

@@ -150,6 +150,22 @@ HTML = [
 ]
 
 
+HTML_KEPT = [
+    ("<article><p>a</p><h2 id='related-work'>Related work</h2><section id='social-impact'><p>b</p></section><section id='advertising-revenue'><p>c</p></section><p id='notice-of-termination'>d</p></article>", "a\nRelated work\nb\nc\nd"),
+    ("<article><p>a</p><div class='social-impact'>b</div><p class='notice'>c</p><h2 id=comments>d</h2><section class='related-posts'>no</section><div id='comments'>no</div><ul class='share-buttons'><li>no</ul><div id=siteFooter>no</div></article>", "a\nb\nc\nd"),
+    ("<body><h1 id='cookie-law'>Law</h1><p>A long enough text of the page, which goes on.</p><section id='cookie-consent-in-law'><p>Another text of it, as long as the first one.</p></section><div id=comments><p>no</p></div></body>", "Law\nA long enough text of the page, which goes on.\nAnother text of it, as long as the first one."),
+    ("<body><div class='social-impact'><article><p>a</p></article></div></body>", "a"), ("<div class='social-impact'><p>only this</p></div>", "only this"),
+    ("<article><p>As <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>E = m</annotation></math> says.</p></article>", "As E=m E = m says."),
+    ("<article><p>a</p><select><option>x<option>y<p>b</p><select><option>z</select><p>c</p><math><mi>d</mi><p>e</p></article>", "a\nb\nc\nd\ne"),
+    ("<article><p>a<svg/>b</p><template><p>c</p><svg><g><svg><text>no</text></svg></g></svg><noscript>d<p>e</p></article>", "ab\nc\nd\ne"),
+]
+
+
+@pytest.mark.parametrize("page, text", HTML_KEPT)
+def test_html_keeps_what_only_looks_like_a_part(page, text):
+    assert html_text.extract(page) == text
+
+
 @pytest.mark.parametrize("page, text", HTML)
 def test_html(page, text):
     assert html_text.extract(page) == text
