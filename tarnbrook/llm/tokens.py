@@ -3,8 +3,8 @@
 A byte-level BPE works on each pre-token alone, so the ids of a text are those of its pre-tokens one after the
 other. The library encodes each distinct pre-token once; its ids are remembered under a 64-bit hash of its bytes, in
 arrays of bounded size that start anew when full, and put together for a whole batch by numpy. The pre-token borders
-follow from the classes of neighbouring bytes for texts of ASCII and two-byte Latin letters; any other text is
-encoded whole by the library."""
+follow from the classes of neighbouring bytes for texts of ASCII and two-byte Latin letters; any other text, and one
+that holds the content of an added token (`<|endoftext|>`), is encoded whole by the library."""
 
 from __future__ import annotations
 
@@ -53,6 +53,18 @@ def plain_texts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found[1:] == found[:-1]
 
 
+def holding(contents: list[bytes], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text whether one of the contents begins in it."""
+    out, body = np.zeros(len(offsets) - 1, dtype=bool), raw.tobytes()
+    for content in filter(None, contents):
+        at = body.find(content)
+        while at >= 0:
+            text = int(np.searchsorted(offsets, at, side="right")) - 1
+            out[text] = True
+            at = body.find(content, max(at + 1, int(offsets[text + 1]) - len(content) + 1))
+    return out
+
+
 def pre_token_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """First bytes of the pre-tokens of plain texts: runs of letters, digits or other characters, each with one
     space before it; runs of white space without that space; and the English contractions, where an apostrophe
@@ -160,7 +172,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memory = Memory()
 
     def library(self, texts: list[str]) -> list[list[int]]:
@@ -197,7 +209,7 @@ class Encoder:
         raw, offsets = string_buffers(column)
         for lo, hi in chunks(offsets):
             part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            plain = plain_texts(part, at)
+            plain = plain_texts(part, at) & ~holding(self.added, part, at)
             if plain.all():
                 ids, sizes = self._plain(part, at)
             else:

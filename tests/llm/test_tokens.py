@@ -6,11 +6,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tarnbrook.llm import pack, token_io, tokens
 from tests.llm.util import clashing, documents, empty
 
 PATH = tokens.default_path()
+FRESH = Tokenizer.from_file(PATH)
 
 
 def by_library(text):
@@ -24,6 +26,20 @@ def test_ids_equal_the_library(texts):
     assert [x[:-1].tolist() for x in tokens.encode_each(PATH, texts)] == [by_library(t) for t in texts]
 
 
+def test_added_tokens_are_those_of_a_fresh_tokenizer():
+    texts = ["plain", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "|> it's", "é<|endoftext|><|endoftext|>é", "<|endoftext|", None, "end<|endoftext|>", "<|endoftext|>中"] * 2
+    got = [x[:-1].tolist() for x in tokens.encode_each(PATH, texts)]
+    assert got == [FRESH.encode(t or "", add_special_tokens=False).ids for t in texts] and got[1] == [64, 220, 50256, 275]
+    for t in texts:
+        assert [x[:-1].tolist() for x in tokens.encode_each(PATH, [t])] == [FRESH.encode(t or "", add_special_tokens=False).ids]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "a", "'s", "é", "中", "\n"])).map("".join), max_size=5))
+def test_ids_equal_a_fresh_tokenizer(texts):
+    assert [x[:-1].tolist() for x in tokens.encode_each(PATH, texts)] == [FRESH.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_every_letter_and_mark():
     texts = [f"a{chr(i)} b {chr(i)}{chr(i)} 1{chr(i)}c\n {chr(i)}d" for i in range(1, 0x3000) if not 0xD800 <= i < 0xE000]
     assert [x[:-1].tolist() for x in tokens.encode_each(PATH, texts)] == tokens.encoder(PATH).library(texts)
