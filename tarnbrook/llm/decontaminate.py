@@ -2,12 +2,14 @@
 
 An item of m words may differ from a passage by k = floor(rate * m) word edits. Cut into k + 1 pieces, at least one
 piece then stands in the passage as it is, so one Aho-Corasick pass over a document finds every place worth a look,
-and Myers' bit-parallel distance over words settles it on the window around. Items go to the tasks in blocks of
+and Myers' bit-parallel distance over words settles it on the window around. In scripts that are written without spaces each
+letter, with its marks, is a word. Items go to the tasks in blocks of
 bounded size, one broadcast after the other, so the benchmark may be large; documents are never shuffled."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,12 +19,27 @@ from .common import trimmed
 
 #: Word edits allowed for each word of an item; characters of the items of one broadcast block.
 ERROR_RATE, BLOCK_CHARS = 0.2, 8_000_000
-_words = re.compile(r"[^\W_]+").findall
+#: First and last characters of the blocks of scripts without spaces between words.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x0F00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x312F), (0x31A0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF),
+)
+
+
+def _word_pattern() -> str:
+    letters = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
+    marks = "".join(chr(c) for a, b in UNSPACED if b < 0x3000 or 0xA980 <= a < 0xAA80 for c in range(a, b + 1) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
+    return rf"(?![\W_])[{letters}][{marks}\u3099\u309a]*|[^\W_{letters}]+"
+
+
+_ascii_words = re.compile(r"[^\W_]+").findall
+_words = re.compile(_word_pattern()).findall
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters and digits, in lower case."""
-    return _words((text or "").lower())
+    """Runs of letters and digits, in lower case; single letters of scripts without spaces."""
+    text = (text or "").lower()
+    return _ascii_words(text) if text.isascii() else _words(text)
 
 
 def pieces_of(words: list[str], errors: int) -> list[tuple[int, int]]:
@@ -158,7 +175,7 @@ def blocks(benchmark: DataFrame, rate: float, most: int = BLOCK_CHARS) -> list[B
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, first_word, end_word): for each document and test item, the closest passage of the
     document that is within the item's budget of floor(rate * words) word edits. Case, white space and punctuation
-    don't count; words are runs of letters and digits.
+    don't count; words are runs of letters and digits, and single letters of scripts without spaces between words.
 
     Null and empty texts and items without words match nothing. Items of fewer than 1 / rate words must be there
     word for word. Of several passages at the least distance the first is returned. Repeated documents are matched

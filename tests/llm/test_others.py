@@ -60,6 +60,18 @@ def test_leak_cases(spark):
     assert kept.columns == docs.columns and 7 not in {r.doc_id for r in kept.collect()} and kept.count() < docs.count()
 
 
+@pytest.mark.parametrize("item, letters", [("今天天气很好我们一起去公园散步然后回家吃饭", 21), ("わたしは昨日ともだちと映画を見に行きました", 21), ("วันนี้อากาศดีมากเราไปเดินเล่นที่สวนกันเถอะ", None)])
+def test_leaks_without_spaces_between_words(item, letters):
+    own = decontaminate.words_of(item)
+    assert "".join(own) == item and len(own) == (letters or len(own)) >= 20
+    matcher = decontaminate.Matcher([(1, item)], 0.2)
+    for k in (3, len(own) // 2):
+        changed = "".join([*own[:k], own[k + 1] if own[k + 1] != own[k] else own[k + 2], *own[k + 1 :]])
+        assert [f[:2] for f in matcher.find(f"{own[5]}{own[2]}x{changed}{own[7]}{own[1]} plain words")] == [(1, 1)]
+    assert [f[:2] for f in matcher.find(own[9] * 3 + item + own[9] * 3)] == [(1, 0)] and matcher.find("".join(own[::-1])) == []
+    assert decontaminate.words_of("Größe été_2 한국어 문장 中a1文") == ["größe", "été", "2", "한국어", "문장", "中", "a1", "文"]
+
+
 def test_blocks_are_bounded(spark):
     items = spark.createDataFrame([(i, "w " * 50) for i in range(20)], "item_id long, text string")
     assert len(decontaminate.blocks(items, 0.2, most=400)) == 5
