@@ -95,7 +95,7 @@ def _scan(words: int, texts: str):
             sets = shingle_sets(*string_buffers(b.column(texts)), words)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             key = np.array([set_key(s) for s in sets], dtype=np.int64)
-            yield rows(b.column("doc_id").cast(pa.int64()), n, key, n > 0)
+            yield rows(b.column("doc_id").cast(pa.int64()), n, key, n > 0, c=b.column("digest"))
             for k, s in zip(key.tolist(), sets):
                 if len(s) and k not in keys:
                     keys.add(k)
@@ -291,10 +291,15 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str
     group of their own. Repeated rows are returned as often as they come and share a group. A null doc_id stays null
     and is nobody's component_id unless all of its group are null. No rows: an empty table. Other columns are not
     read. Shingles and sets are identified by 64-bit hashes."""
+    return _groups(docs, words, percent, text, star_rounds).select("doc_id", "n_shingles", "component_id")
+
+
+def _groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text", star_rounds: int = 2) -> DataFrame:
+    """What jaccard_groups() returns, with a digest of the row's text and the label of its group (null: no words)."""
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scanned = materialize(src.mapInArrow(_scan(words, "text"), "doc_id long, n_shingles long, key long, column long, held long"), "ngram-scan")
-    per_doc = scanned.where("column is null").select("doc_id", "n_shingles", "key")
+    scanned = materialize(src.withColumn("digest", F.xxhash64("text")).mapInArrow(_scan(words, "text"), "doc_id long, n_shingles long, key long, column long, held long"), "ngram-scan")
+    per_doc = scanned.where("column is null").select("doc_id", "n_shingles", "key", F.col("held").alias("digest"))
     n_docs = per_doc.count()
     most = max(3, int(n_docs * FREQUENT))
     frequent = [r[0] for r in scanned.where("column is not null").groupBy("column").agg(F.sum("held").alias("held")).where(F.col("held") >= most).select("column").toLocalIterator()]
@@ -336,14 +341,19 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str
     named = own.join(labels, own.key == labels.node, "left").select("key", "least", F.coalesce("label", "key").alias("label"))
     # Written apart, so that the join on a hot label is not tied to the aggregate's partitions and can be split.
     groups = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "ngram-groups")
-    by_key = named.join(groups, "label").select("key", "component_id")
-    return keyed.join(by_key, "key").select("doc_id", "n_shingles", "component_id").unionByName(per_doc.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    by_key = named.join(groups, "label").select("key", "component_id", "label")
+    blank = per_doc.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest", F.lit(None).cast("long").alias("label"))
+    return keyed.join(by_key, "key").select("doc_id", "n_shingles", "component_id", "digest", "label").unionByName(blank)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; of its repeated rows one. Rows without doc_id can't be
-    told apart and stay. The columns as they came."""
-    groups = jaccard_groups(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    found = docs.join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
-    return found.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document of each group, that with the smallest doc_id; of its repeated rows one, and of texts of the group
+    that share this doc_id that with the least digest. Texts of different groups stay, also under one doc_id. Rows
+    without doc_id can't be told apart and stay. The columns as they came."""
+    first = _groups(docs).where("doc_id = component_id").select("doc_id", "digest", "label")
+    linked = first.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("f")).select("f.doc_id", "f.digest")
+    kept = linked.unionByName(first.where("label is null").select("doc_id", "digest")).select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    names, digest = docs.columns, "digest of the text"
+    with_digest = docs.withColumn(digest, F.xxhash64(F.col("text").cast("string")))
+    found = with_digest.join(kept, (with_digest["doc_id"].cast("long") == kept["kept_id"]) & (with_digest[digest] == kept["kept_digest"]), "left_semi")
+    return found.dropDuplicates(["doc_id", digest]).select(names).unionByName(docs.where("doc_id is null"))

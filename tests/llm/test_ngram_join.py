@@ -71,6 +71,15 @@ def test_empty_table_and_kept(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_one_doc_id_of_different_texts(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    texts = [(5, "one text of its own under id five"), (5, near), (5, near + " more"), (5, near + " more"), (9, near + " other"), (2, "a text that has the least id of all"), (5, "A text that has the least id of all"), (7, ""), (7, None), (7, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    kept = sorted(((r.doc_id, r.text) for r in keep_one_of_each(docs).collect()), key=str)
+    assert [t for t in kept if t[1] not in (near, near + " more")] == sorted([(5, texts[0][1]), (2, texts[5][1]), (7, ""), (7, None)], key=str)
+    assert len(kept) == 5 and kept == sorted(((r.doc_id, r.text) for r in keep_one_of_each(docs.repartition(1)).collect()), key=str)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.label for r in connected_components(edges).collect()}
