@@ -156,7 +156,7 @@ def pack(docs: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, toke
         closed = table.where("not still_open")
         done = closed if done is None else done.unionByName(closed)
         n, level = -(-n // FAN_IN), level + 1
-        ordered = table.where("still_open").repartition(n, F.shiftright("sequence_id", 28)).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids")
-        placed = ordered.mapInArrow(_pack(_again, level, length, open_bins if n > 1 else 1 << 20, n == 1), SCHEMA)
+        ordered = table.where("still_open").repartition(n, F.shiftright("sequence_id", 28)).sortWithinPartitions("sequence_id", "offset")
+        placed = ordered.mapInArrow(_pack(_again, level, length, open_bins, n == 1), SCHEMA)
     out = placed if done is None else done.unionByName(placed)
     return out.drop("still_open")

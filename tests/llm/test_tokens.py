@@ -87,6 +87,14 @@ def test_packing(spark, change):
     assert pack.pack(empty(spark)).count() == 0
 
 
+def test_every_level_has_the_fixed_number_of_open_bins(spark, monkeypatch):
+    limits = []
+    own = pack._pack
+    monkeypatch.setattr(pack, "_pack", lambda source, level, length, open_bins, last: limits.append(open_bins) or own(source, level, length, open_bins, last))
+    pack.pack(documents(spark).repartition(5), length=128, open_bins=8)
+    assert limits == [8, 8]
+
+
 def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     bins = pack.OpenBins(10, 2)
     assert bins.add(6, "a") is None and bins.add(8, "b") is None
