@@ -1,7 +1,7 @@
 """N-gram Jaccard join: which texts share at least 75 % of their distinct word shingles, and the groups they form.
 
-The document by n-gram incidence matrix is held as 64-bit shingle hashes and multiplied with its transpose in
-blocks of columns (hash ranges), each of a size that fits one task:
+The document by n-gram incidence matrix is held as 64-bit shingle hashes, its columns counted in blocks (hash
+ranges), each of a size that fits one task; its product with its transpose is not carried out:
 
 1. Scan: the distinct shingles of each text; texts with the same set are one row of the matrix from then on
    (`key`, a digest of the set). Columns that a large share of the rows hold are found on the way.
@@ -9,7 +9,7 @@ blocks of columns (hash ranges), each of a size that fits one task:
 3. Row blocks: each row sorts its columns from rare to frequent. A row of n shingles can reach the threshold
    only with rows that share one of its first n - ceil(t n) + 1 columns (unshared ones first), so a row whose
    unshared columns fill that prefix is settled here.
-4. Overlaps are accumulated for candidate pairs only: first each row against one pivot per column, then, where a
+4. Overlaps are taken for candidate pairs only, by intersecting two rows: first each row against one pivot per column, then, where a
    column still holds rows of different groups, the pairs between groups, each pair bounded by sizes and
    positions. Rows that a pivot has joined are not compared with each other, so a group of n copies costs about
    n comparisons and no link between groups is lost.
