@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,7 +53,7 @@ class _Top(dict):
 
 def _pairs(items):
     out = _Top(items)
-    out.repeated = {k for i, (k, _) in enumerate(items) if any(k == other for other, _ in items[:i])} if len(out) < len(items) else set()
+    out.repeated = {k for k, n in Counter(k for k, _ in items).items() if n > 1} if len(out) < len(items) else set()
     return out
 
 
@@ -94,6 +95,28 @@ def parse_record(text: str) -> tuple[str, str, str]:
     return out
 
 
+def well_formed(text: str | None) -> bool:
+    """Whether a text is JSON of any size: what a scan passes over otherwise, and a lookup tells of. Repeated keys are
+    fine; text after the value, NaN and nesting beyond what Python's reader takes (some thousand levels) are not."""
+    try:
+        json.loads(text, parse_constant=_constant)
+        text.encode()
+    except (TypeError, ValueError, RecursionError):
+        return False
+    return True
+
+
+def well_formed_column(column: Column) -> Column:
+    """well_formed() as one Arrow UDF: Spark's own readers turn down long strings, long or repeated keys and deep nesting,
+    and accept text after the value."""
+
+    @F.pandas_udf("boolean")
+    def check(texts: pd.Series) -> pd.Series:
+        return pd.Series([well_formed(t) for t in texts], dtype=bool)
+
+    return check(column)
+
+
 def record_json(id_: str, hash_: str, data_json: str) -> str:
     """The record's JSON text, with members in the order id, hash, data."""
     q = lambda s: json.dumps(s, ensure_ascii=False)

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..schema import NOT_FOUND, OK
 
 
+def _carried(log: DataFrame) -> list[str]:
+    return [c for c in log.columns if c not in ("seq", "op", "id")]
+
+
 def since_clear(log: DataFrame) -> DataFrame:
     """Entries after the last clear."""
     cleared = log.where("op = 'clear'").agg(F.coalesce(F.max("seq"), F.lit(-(1 << 62)))).scalar()
@@ -19,12 +23,13 @@ def since_clear(log: DataFrame) -> DataFrame:
 
 
 def state(log: DataFrame) -> DataFrame:
-    """(id, hash, data_json) of the living documents. The log has no clear after its first wanted entry; see
+    """(id, hash, data_json and what else an entry carries) of the living documents. The log has no clear after its first wanted entry; see
     since_clear()."""
+    carried = _carried(log)
     exists = F.max(F.when(F.col("op").isin("post", "delete"), F.struct("seq", "op")))
-    value = F.max(F.when(F.col("op").isin("post", "put"), F.struct("seq", "hash", "data_json")))
+    value = F.max_by(F.struct(*carried), F.when(F.col("op").isin("post", "put"), F.col("seq")))
     folded = log.where("op in ('post', 'put', 'delete')").groupBy("id").agg(exists.alias("e"), value.alias("v"))
-    return folded.where("e.op = 'post'").select("id", F.col("v.hash").alias("hash"), F.col("v.data_json").alias("data_json"))
+    return folded.where("e.op = 'post'").select("id", *[F.col(f"v.{c}").alias(c) for c in carried])
 
 
 def state_with_clear(log: DataFrame) -> DataFrame:
@@ -38,8 +43,9 @@ def as_of(log: DataFrame, seq: int) -> DataFrame:
 
 def with_snapshot(snapshot: DataFrame, tail: DataFrame) -> DataFrame:
     """A log whose fold is that of the snapshot's documents followed by the tail."""
-    base = snapshot.select(F.lit(-1).cast("long").alias("seq"), F.lit("post").alias("op"), "id", "hash", "data_json")
-    return base.unionByName(tail.select("seq", "op", "id", "hash", "data_json"))
+    carried = _carried(tail)
+    base = snapshot.select(F.lit(-1).cast("long").alias("seq"), F.lit("post").alias("op"), "id", *carried)
+    return base.unionByName(tail.select("seq", "op", "id", *carried))
 
 
 def responses(log: DataFrame) -> DataFrame:

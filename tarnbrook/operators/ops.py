@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..codec import well_formed_column
 from ..schema import DATABASE_ERROR, NOT_FOUND, OK, key_problem
 
 
@@ -34,16 +35,21 @@ def get_many(state: DataFrame, keys: DataFrame) -> DataFrame:
     return found.withColumn("status", F.when(F.col("data_json").isNull() & F.col("hash").isNull(), NOT_FOUND).otherwise(OK))
 
 
-def post(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """State after an upsert: documents of the batch replace those of the same key as a whole."""
-    new = batch.select("id", "hash", "data_json")
+def _one_of_each(batch: DataFrame, order: str) -> DataFrame:
+    """The last row of each key by `order`; in a batch without that column, the greatest by hash and data."""
+    return last_of_each(batch, [order] if order in batch.columns else ["hash", "data_json"]).select("id", "hash", "data_json")
+
+
+def post(state: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
+    """State after an upsert: documents of the batch replace those of the same key as a whole. Of repeated keys the
+    last by `order` counts."""
+    new = _one_of_each(batch, order)
     return state.join(new.select("id"), "id", "left_anti").select("id", "hash", "data_json").unionByName(new)
 
 
-def put(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """State after an update of existing keys only; never merges data."""
-    hits = batch.join(state.select("id"), "id", "left_semi").select("id", "hash", "data_json")
-    return post(state, hits)
+def put(state: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
+    """State after an update of existing keys only; never merges data. Repeated keys as in post()."""
+    return post(state, batch.join(state.select("id"), "id", "left_semi"), order)
 
 
 def delete(state: DataFrame, keys: DataFrame) -> DataFrame:
@@ -81,14 +87,31 @@ def check_keys(batch: DataFrame) -> DataFrame:
 
 
 def valid_rows(stored: DataFrame) -> DataFrame:
-    """A scan passes over rows whose data can't be read."""
-    return stored.where(F.try_parse_json("data_json").isNotNull())
+    """A scan passes over rows whose data can't be read; lookup_strict() judges by the same test."""
+    return stored.where(well_formed_column(F.col("data_json")))
 
 
 def lookup_strict(stored: DataFrame, keys: DataFrame) -> DataFrame:
     """(id, status): a lookup tells of data that can't be read."""
-    got = keys.join(stored.select("id", "data_json"), "id", "left")
-    return got.select("id", F.when(F.col("data_json").isNull(), NOT_FOUND).when(F.try_parse_json("data_json").isNull(), DATABASE_ERROR).otherwise(OK).alias("status"))
+    checked = stored.select("id", well_formed_column(F.col("data_json")).alias("valid"))
+    return keys.join(checked, "id", "left").select("id", F.when(F.col("valid").isNull(), NOT_FOUND).when(F.col("valid"), OK).otherwise(DATABASE_ERROR).alias("status"))
+
+
+def batch_responses(state: DataFrame, batch: DataFrame, op: str, order: str = "seq") -> DataFrame:
+    """(`order`, id, status, message) of every row of a batch of one op, as its rows one by one would be answered: keys that
+    can't be written are errors, put and delete need the key, and only the first delete of a key finds it."""
+    checked = check_keys(batch.select(order, "id"))
+    if op == "post":
+        return checked.withColumn("message", F.when(F.col("status") == OK, "stored").otherwise(F.col("message")))
+    there = checked.join(state.select("id", F.lit(True).alias("there")), "id", "left")
+    hit = F.coalesce("there", F.lit(False))
+    if op == "delete":
+        first = checked.groupBy("id").agg(F.min(order).alias("first"))
+        there = there.join(first, "id", "left")
+        hit = hit & (F.col(order) == F.col("first"))
+    found, missing = ("Record deleted successfully", F.concat(F.lit("No record found with id: "), "id")) if op == "delete" else ("updated", F.lit("Model not found for update"))
+    bad = F.col("status") != OK
+    return there.select(order, "id", F.when(bad, F.col("status")).when(hit, OK).otherwise(NOT_FOUND).alias("status"), F.when(bad, F.col("message")).when(hit, F.lit(found)).otherwise(missing).alias("message"))
 
 
 def variants(state: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 #: A document: key, opaque hash of the caller, canonical JSON text of the data.
 DOCUMENT = "id string, hash string, data_json string"
-#: A log entry. seq is a total order; op is post, put, delete, get or clear (which has no id).
-LOG = f"seq long, op string, {DOCUMENT}"
+#: A document in the store's files, with whether its data is JSON, found when it was written.
+STORED = f"{DOCUMENT}, valid boolean"
+#: A log entry in the store's files. seq is a total order; op is post, put, delete, get or clear (which has no id).
+LOG = f"seq long, op string, {STORED}"
 RESPONSE = "seq long, op string, id string, status string, message string"
 #: Bytes of the longest key.
 MAX_KEY = 511

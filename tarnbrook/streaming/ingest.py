@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,11 +12,13 @@ from ..store import DocumentStore
 
 
 def ingest(stream: DataFrame, store: DocumentStore, checkpoint: str, op: str = "post", order: str = "seq", **trigger) -> StreamingQuery:
-    """Applies a stream of (id, hash, data_json, `order`) to the store. Upserts and deletes may be repeated after a
-    failure without changing the state, so the sink is exactly-once in effect."""
+    """Applies a stream of (id, hash, data_json, `order`) to the store, exactly once: the manifest that holds a micro-batch
+    also names it, by the stream's id in its checkpoint and the batch's number, so one that is repeated after a
+    failure is passed over, whatever others have written since."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        store.apply(batch, op, order)
+    def write(batch: DataFrame, number: int) -> None:
+        name = json.loads(store.spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        store.apply(batch, op, order, (name, number))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

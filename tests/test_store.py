@@ -152,3 +152,69 @@ def test_streaming(spark, store, tmp_path):
     ingest(stream, store, str(tmp_path / "ck")).awaitTermination()
     assert {r.id: r.hash for r in store.get().collect()} == {f"k{i}": str(15 + i) for i in range(5)}
     assert "window" in change_counts(spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"), F.lit("post").alias("op"))).columns
+
+
+BIG = ["\"" + "x" * 25_000_000 + "\"", "[" * 1100 + "]" * 1100, '{"a":1,"a":2}', '{"' + "k" * 60_000 + '":1}', "[]"]
+
+
+def test_scan_and_lookup_agree_on_large_and_odd_values(spark, store):
+    rows = [(f"k{i}", "h", x, i) for i, x in enumerate([*BIG, "{} x", "NaN", "[" * 200_000, None])]
+    store.apply(spark.createDataFrame(rows, "id string, hash string, data_json string, seq long"), "post")
+    for id_, _, data, _ in rows[:3]:
+        store.post(Record(f"p{id_}", "h", data))
+    kept = {f"k{i}": len(x) for i, x in enumerate(BIG)} | {f"pk{i}": len(x) for i, x in enumerate(BIG[:3])}
+    assert {r.id: r.n for r in store.get().selectExpr("id", "length(data_json) n").collect()} == kept
+    for id_ in kept:
+        assert len(store.get_by_id(id_).data_json) == kept[id_]
+    for id_, *_ in rows[len(BIG) :]:
+        with pytest.raises(StoreError):
+            store.get_by_id(id_)
+    store.compact()
+    assert {r.id for r in store.get().select("id").collect()} == set(kept)
+
+
+def test_apply_tells_of_every_row(spark, store):
+    rows = [(0, "a"), (1, ""), (2, None), (3, "x" * 512), (4, "a"), (5, "b")]
+    batch = spark.createDataFrame([(s, i, f"h{s}", "1") for s, i in rows], "seq long, id string, hash string, data_json string")
+    status = lambda df: [(r.seq, r.status) for r in df.orderBy("seq").collect()]
+    bad = [(s, "DatabaseError") for s in (1, 2, 3)]
+    assert status(store.apply(batch.where("id <> 'b' or id is null"), "post")) == sorted([(0, "Ok"), *bad, (4, "Ok")])
+    assert store.get_by_id("a").hash == "h4" and store.get().count() == 1
+    assert status(store.apply(batch, "put")) == sorted([(0, "Ok"), *bad, (4, "Ok"), (5, "NotFound")])
+    assert status(store.apply(batch.select("seq", "id"), "delete")) == sorted([(0, "Ok"), *bad, (4, "NotFound"), (5, "NotFound")])
+    assert store.get().count() == 0
+
+
+def test_a_repeated_micro_batch_is_passed_over(spark, store):
+    batch = spark.createDataFrame([(0, "a", "h", "1")], "seq long, id string, hash string, data_json string")
+    assert store.apply(batch, "post", stream=("s", 0)) is not None
+    assert store.delete_by_id("a")
+    store.compact()
+    assert store.apply(batch, "post", stream=("s", 0)) is None and store.get().count() == 0
+    assert store.apply(batch, "post", stream=("s", 1)) is not None and store.get().count() == 1
+
+
+def test_vacuum_and_expiry(spark, store, monkeypatch):
+    batch = spark.createDataFrame([(0, "a", "h", "1")], "seq long, id string, hash string, data_json string")
+    for _ in range(3):
+        store.apply(batch, "post")
+    store.compact()
+    assert store.vacuum(older_than=3600) == 0 and store.vacuum(older_than=-1) == 3
+    assert store.get().count() == 1 and len(store._versions()) == 1
+    monkeypatch.setattr("tarnbrook.store.KEPT_VERSIONS", 5)
+    monkeypatch.setattr("tarnbrook.store.EXPIRE_EVERY", 10)
+    for i in range(30):
+        store.post(model(f"k{i}"))
+    assert len(store._versions()) < 20 and store.get().count() == 31
+    stale = store.manifest()
+    store.post(model("z"))
+    assert store._publish(stale) is False
+
+
+def test_posts_fold_repeated_keys(spark):
+    from tarnbrook.operators import ops
+
+    state = spark.createDataFrame([("a", "old", "1")], "id string, hash string, data_json string")
+    batch = spark.createDataFrame([(1, "a", "h1", "1"), (2, "a", "h2", "1"), (1, "b", "h1", "1"), (0, "b", "h9", "1")], "seq long, id string, hash string, data_json string")
+    assert sorted((r.id, r.hash) for r in ops.post(state, batch).collect()) == [("a", "h2"), ("b", "h1")]
+    assert sorted((r.id, r.hash) for r in ops.put(state, batch).collect()) == [("a", "h2")]
