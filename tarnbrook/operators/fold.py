@@ -6,7 +6,7 @@ hot keys cost one row for each task; no entry is replayed one after the other.""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import NOT_FOUND, OK
@@ -36,8 +36,8 @@ def state_with_clear(log: DataFrame) -> DataFrame:
     return state(since_clear(log))
 
 
-def as_of(log: DataFrame, seq: int) -> DataFrame:
-    """The state after entry `seq`."""
+def as_of(log: DataFrame, seq: int | Column) -> DataFrame:
+    """The state after entry `seq`, a number or the one value of a scalar subquery."""
     return state_with_clear(log.where(F.col("seq") <= seq))
 
 
