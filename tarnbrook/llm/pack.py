@@ -2,9 +2,11 @@
 
 Bounded-space online best fit: pieces come in input order; at most `open_bins` sequences are open, kept in a
 bitset over their free space, so the tightest that still fits is the lowest set bit at or above the piece's
-length. When no open sequence fits and all are in use, the fullest closes. Each task packs its own split; what
-its open sequences hold at the end goes, as pieces, to a next level of fewer tasks, until one task is left, so
-only the last task ends with sequences that are partly filled for want of input."""
+length. When no open sequence fits and all are in use, the fullest closes. Each task packs its own split and at its
+end closes all but the `open_bins` emptiest sequences. What those hold goes, as pieces from long to short, to a next
+level of tasks, each of which takes over from FAN_IN tasks and so has FAN_IN times as many open sequences, a fixed
+number that holds all it can be given; the last level is one task. Only there sequences end partly filled for want
+of input, so the result hardly depends on how the input is split."""
 
 from __future__ import annotations
 
@@ -105,8 +107,8 @@ def _split(items: list):
     yield one
 
 
-def _pack(source, level: int, length: int, open_bins: int, last: bool):
-    """source(batch) gives the pieces of an Arrow batch."""
+def _pack(source, level: int, length: int, open_bins: int, handed_on: int):
+    """source(batch) gives the pieces of an Arrow batch; the `handed_on` emptiest sequences stay open at the end."""
 
     def run(batches):
         bins, out = OpenBins(length, open_bins), _Writer(level)
@@ -116,8 +118,8 @@ def _pack(source, level: int, length: int, open_bins: int, last: bool):
                 if closed:
                     out.put(closed, False)
             yield from out.batches(2000)
-        for items in bins.rest():
-            out.put(items, not last)
+        for i, items in enumerate(reversed(bins.rest())):
+            out.put(items, i < handed_on)
         yield from out.batches(0)
 
     return trimmed(run)
@@ -150,13 +152,14 @@ def pack(docs: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, toke
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n, level, done = src.rdd.getNumPartitions(), 0, None
-    placed = src.mapInArrow(_pack(_tokenised(tokenizer or default_path(), length), 0, length, open_bins, n == 1), SCHEMA)
-    while n > 1:
+    placed = src.mapInArrow(_pack(_tokenised(tokenizer or default_path(), length), 0, length, open_bins, open_bins), SCHEMA)
+    while level == 0 or n > 1:
         table = materialize(placed, f"packed-{level}")
         closed = table.where("not still_open")
         done = closed if done is None else done.unionByName(closed)
-        n, level = -(-n // FAN_IN), level + 1
-        ordered = table.where("still_open").repartition(n, F.shiftright("sequence_id", 28)).sortWithinPartitions("sequence_id", "offset")
-        placed = ordered.mapInArrow(_pack(_again, level, length, open_bins, n == 1), SCHEMA)
-    out = placed if done is None else done.unionByName(placed)
+        n, level = max(1, -(-n // FAN_IN)), level + 1
+        task = F.shiftright("sequence_id", 28).bitwiseAND((1 << 28) - 1)
+        ordered = table.where("still_open").repartitionById(n, F.pmod(task, F.lit(n)).cast("int")).sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+        placed = ordered.mapInArrow(_pack(_again, level, length, FAN_IN * open_bins, open_bins if n > 1 else 0), SCHEMA)
+    out = done.unionByName(placed)
     return out.drop("still_open")

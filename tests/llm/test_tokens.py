@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,7 @@ FRESH = Tokenizer.from_file(PATH)
 
 
 def by_library(text):
-    return tokens.encoder(PATH).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return FRESH.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
@@ -87,12 +88,47 @@ def test_packing(spark, change):
     assert pack.pack(empty(spark)).count() == 0
 
 
-def test_every_level_has_the_fixed_number_of_open_bins(spark, monkeypatch):
+def test_every_level_has_a_fixed_number_of_open_bins(spark, monkeypatch):
     limits = []
     own = pack._pack
-    monkeypatch.setattr(pack, "_pack", lambda source, level, length, open_bins, last: limits.append(open_bins) or own(source, level, length, open_bins, last))
-    pack.pack(documents(spark).repartition(5), length=128, open_bins=8)
-    assert limits == [8, 8]
+    monkeypatch.setattr(pack, "_pack", lambda source, level, length, open_bins, handed_on: limits.append((open_bins, handed_on)) or own(source, level, length, open_bins, handed_on))
+    pack.pack(documents(spark).repartition(40), length=128, open_bins=8)
+    assert limits == [(8, 8), (8 * pack.FAN_IN, 8), (8 * pack.FAN_IN, 0)]
+
+
+@pytest.mark.parametrize("splits", [1, 33])
+def test_sequences_are_few_in_spark(spark, splits):
+    got = pack.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(splits)).agg(F.countDistinct("sequence_id").alias("made"), F.sum("length").alias("ids")).first()
+    assert got.made <= 1.01 * got.ids / pack.LENGTH + 1
+
+
+def pieces_in(sizes, length):
+    return [n for s in sizes for n in ([s] if s <= length else [s % length] * (s % length > 0) + [length] * (s // length))]
+
+
+@pytest.mark.parametrize("splits", [1, 2, 33, 40, 64, 200])
+def test_sequences_are_few_however_the_input_is_split(splits):
+    """The levels of pack() as they run in tasks, on the piece lengths of sf0.1; at most 1 % over the floor."""
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet").column("text")
+    sizes = [n for c in texts.chunks for _, own in tokens.encoder(PATH).encode(c) for n in own.tolist()]
+    own = pieces_in(sizes, pack.LENGTH)
+    tasks = [own[i * len(own) // splits : (i + 1) * len(own) // splits] for i in range(splits)]
+    made, level = 0, 0
+    while True:
+        last = level and len(tasks) == 1
+        handed = []
+        for task in tasks:
+            bins = pack.OpenBins(pack.LENGTH, pack.OPEN_BINS * (pack.FAN_IN if level else 1))
+            for n in sorted(task, reverse=True) if level else task:
+                made += len(list(pack._split(c))) if (c := bins.add(n, n)) else 0
+            rest = bins.rest()[::-1]
+            made += len(rest[0 if last else pack.OPEN_BINS :])
+            handed.append([n for items in rest[: 0 if last else pack.OPEN_BINS] for n in items])
+        if last:
+            break
+        tasks = [sum(handed[i :: -(-len(tasks) // pack.FAN_IN)], []) for i in range(-(-len(tasks) // pack.FAN_IN))]
+        level += 1
+    assert made <= 1.01 * sum(own) / pack.LENGTH + 1
 
 
 def test_best_fit_takes_the_tightest_and_closes_the_fullest():
