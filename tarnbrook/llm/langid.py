@@ -4,10 +4,12 @@ trigrams, and Viterbi with a switching penalty labels spans of mixed-language te
 Training counts hashed letter trigrams (with word borders) of a bounded sample of labelled documents for each
 language, and which scripts the language is written in. Prediction runs over whole texts in one Arrow pass: all
 trigrams of a batch are scored by table lookup, summed by word, and the Viterbi steps of all its documents run
-side by side."""
+side by side. A text whose scores would not fit the bound on memory is read in parts, forward for the scores at their
+borders and backward for the labels."""
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,21 +51,24 @@ SCRIPTS = [
     ("han", [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)]),
 ]
 N_SCRIPTS = len(SCRIPTS) + 1  # 0: any other
+#: Characters times languages whose scores are held at a time.
+CELLS = 48_000_000
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter = np.array([chr(i).isalpha() for i in range(0x10000)])
+    mark = np.array([unicodedata.category(chr(i))[0] == "M" for i in range(0x10000)])
     script = np.zeros(0x10000, dtype=np.uint8)
     for i, (_, ranges) in enumerate(SCRIPTS):
         for a, b in ranges:
             script[a : b + 1] = i + 1
-    return letter, script
+    return letter, mark, script
 
 
 _CACHE: dict[str, tuple] = {}
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray]:
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if "t" not in _CACHE:
         _CACHE["t"] = _tables()
     return _CACHE["t"]
@@ -84,11 +89,15 @@ def features(texts: list[str | None]) -> Features:
     low = [(t or "").lower() for t in texts]
     code = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum([len(t) + 1 for t in low])
-    letter, script = _classes()
+    letter, mark, script = _classes()
     small = np.minimum(code, 0xFFFF).astype(np.uint16)
     is_letter = letter[small]
     for i in np.flatnonzero(code > 0xFFFF):
         is_letter[i] = chr(code[i]).isalpha()
+    marks = mark[small]
+    if marks.any():  # a mark belongs to the letter before it
+        last = np.maximum.accumulate(np.where(marks, 0, np.arange(len(code))))
+        is_letter |= marks & is_letter[last]
     c = np.where(is_letter, code, 0)
     at = np.flatnonzero(is_letter)
     before, after = c[np.maximum(at, 1) - 1], c[np.minimum(at + 1, len(c) - 1)]
@@ -114,12 +123,17 @@ def groups(texts: list, most: int):
         yield at, len(texts)
 
 
+def _label_type(labels: int):
+    return np.uint8 if labels <= 1 << 8 else np.uint16 if labels <= 1 << 16 else np.uint32
+
+
 def viterbi(scores: np.ndarray, words_of: np.ndarray, switch: float) -> np.ndarray:
     """The best label of each word: the sum of its words' scores less `switch` for each change of label, for all
     texts at once. Ties keep the label, or go to the first one."""
     total, labels = scores.shape
+    kind = _label_type(labels)
     if labels < 2 or not total:
-        return np.zeros(total, dtype=np.uint8)
+        return np.zeros(total, dtype=kind)
     by_size = np.argsort(-words_of, kind="stable")
     sizes = words_of[by_size]
     steps = int(sizes[0])
@@ -131,19 +145,19 @@ def viterbi(scores: np.ndarray, words_of: np.ndarray, switch: float) -> np.ndarr
     place = off[np.arange(total) - np.repeat(start, words_of)] + np.repeat(rank, words_of)
     timed = np.empty_like(scores)
     timed[place] = scores
-    back = np.empty((total, labels), dtype=np.uint8)
-    own = np.arange(labels, dtype=np.uint8)
+    back = np.empty((total, labels), dtype=kind)
+    own = np.arange(labels, dtype=kind)
     v = timed[: active[0]].copy()
     for t in range(1, steps):
         n = active[t]
         now = v[:n]
         top = now.argmax(axis=1)
         moved = (now[np.arange(n), top] - np.float32(switch))[:, None]
-        back[off[t] : off[t + 1]] = np.where(now >= moved, own, top[:, None].astype(np.uint8))
+        back[off[t] : off[t + 1]] = np.where(now >= moved, own, top[:, None].astype(kind))
         np.maximum(now, moved, out=now)
         now += timed[off[t] : off[t + 1]]
     state = v.argmax(axis=1)
-    path = np.empty(total, dtype=np.uint8)
+    path = np.empty(total, dtype=kind)
     for t in range(steps - 1, 0, -1):
         n = active[t]
         path[off[t] : off[t + 1]] = state[:n]
@@ -152,6 +166,37 @@ def viterbi(scores: np.ndarray, words_of: np.ndarray, switch: float) -> np.ndarr
     return path[place]
 
 
+def viterbi_in_parts(parts: int, scores_of, switch: float) -> np.ndarray:
+    """viterbi() of one text whose scores come in parts: scores_of(i) is called twice for each part, and only the scores
+    at the borders are held between."""
+    borders, v = [], None
+    for i in range(parts):
+        borders.append(v)
+        for row in scores_of(i):
+            v = row.copy() if v is None else np.maximum(v, v.max() - np.float32(switch)) + row
+    state, found = (0 if v is None else int(v.argmax())), []
+    for i in reversed(range(parts)):
+        scores, v = scores_of(i), borders[i]
+        own = np.arange(scores.shape[1], dtype=_label_type(scores.shape[1]))
+        back = np.empty(scores.shape, dtype=own.dtype)
+        for t, row in enumerate(scores):
+            if v is None:
+                v = row.copy()
+                continue
+            top = int(v.argmax())
+            moved = v[top] - np.float32(switch)
+            back[t] = np.where(v >= moved, own, own.dtype.type(top))
+            v = np.maximum(v, moved) + row
+        path = np.empty(len(scores), dtype=own.dtype)
+        first = 1 if borders[i] is None else 0
+        for t in range(len(scores) - 1, -1, -1):
+            path[t] = state
+            if t >= first:
+                state = back[t, state]
+        found.append(path)
+    return np.concatenate(found[::-1]) if found else np.zeros(0, np.uint8)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -168,25 +213,48 @@ class Model:
         some = candidates.any(axis=1)[:, None]
         return s - np.float32(_OUT) * (some & ~candidates)
 
-    def label(self, texts: list[str | None], switch: float = SWITCH) -> tuple[list[str], list[float], list[list[tuple]]]:
-        """For each text its language, the share of its letters in spans of that language, and the spans as
-        (first word, number of words, language)."""
+    def chars(self) -> int:
+        """Characters whose scores are held at a time."""
+        return max(1, CELLS // max(len(self.languages), 1))
+
+    def _paths(self, texts: list[str | None], switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(label of each word, letters of each word, words of each text)."""
+        if len(texts) == 1 and len(texts[0] or "") > self.chars():
+            parts = list(_word_parts(texts[0], self.chars()))
+            path = viterbi_in_parts(len(parts), lambda i: self.word_scores(features([parts[i]])), switch)
+            letters = np.concatenate([features([p]).letters for p in parts])
+            return path, letters, np.array([len(letters)])
         parts = [features(texts[a:b]) for a, b in groups(texts, 1_000_000)]
-        if not parts or not self.languages:
-            return [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         scores = np.concatenate([self.word_scores(f) for f in parts])
         letters, words_of = np.concatenate([f.letters for f in parts]), np.concatenate([f.words_of for f in parts])
-        path = viterbi(scores, words_of, switch)
+        return viterbi(scores, words_of, switch), letters, words_of
+
+    def label(self, texts: list[str | None], switch: float = SWITCH, framed: bool = False) -> tuple[list[str], list[float], list[list[tuple]]]:
+        """For each text its language, the share of its letters in spans of that language, and the spans as
+        (first word, number of words, language). With `framed` a text that begins and ends in one language is of that
+        language, whatever stands between."""
+        if not self.languages:
+            return [NO_LANGUAGE] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+        languages, shares, spans = [], [], []
+        for lo, hi in groups(texts, self.chars()):
+            for part in (part for part in (texts[lo : hi - 1], texts[hi - 1 : hi]) if part):  # the last one may be long
+                for out, own in zip((languages, shares, spans), self._label(part, switch, framed)):
+                    out += own
+        return languages, shares, spans
+
+    def _label(self, texts: list[str | None], switch: float, framed: bool):
+        path, letters, words_of = self._paths(texts, switch)
         n = len(self.languages)
         doc = np.repeat(np.arange(len(texts)), words_of)
         held = np.bincount(doc * n + path, weights=letters, minlength=len(texts) * n).reshape(-1, n)
         total, best = held.sum(axis=1), held.argmax(axis=1)
         start = np.concatenate(([0], np.cumsum(words_of)))
-        some = np.flatnonzero(words_of)
-        frame = path[start[some]] == path[start[some + 1] - 1]  # begins and ends in one language: the rest is inserted
-        best[some[frame]] = path[start[some[frame]]]
+        if framed:
+            some = np.flatnonzero(words_of)
+            frame = path[start[some]] == path[start[some + 1] - 1]
+            best[some[frame]] = path[start[some[frame]]]
         share = held[np.arange(len(texts)), best] / np.maximum(total, 1)
-        turn = np.flatnonzero(np.diff(path.astype(np.int16), prepend=-1) | np.diff(doc, prepend=-1))
+        turn = np.flatnonzero(np.diff(path.astype(np.int64), prepend=-1) | np.diff(doc, prepend=-1))
         size = np.diff(np.append(turn, len(path)))
         spans: list[list[tuple]] = [[] for _ in texts]
         for d, first, k, l in zip(doc[turn].tolist(), (turn - start[doc[turn]]).tolist(), size.tolist(), path[turn].tolist()):
@@ -194,6 +262,17 @@ class Model:
         return [self.languages[b] if t else NO_LANGUAGE for b, t in zip(best.tolist(), total.tolist())], share.tolist(), spans
 
 
+def _word_parts(text: str, most: int):
+    """A text in parts of about `most` characters that are cut outside words."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + most)
+        while end < len(text) and (text[end].isalpha() or unicodedata.category(text[end])[0] == "M"):
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def _count(slot_count: int):
     def run(batches):
         for b in batches:
@@ -237,19 +316,17 @@ def _predict(model, switch: float):
     def run(batches):
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id")
-            for lo, hi in groups(texts, 12_000_000):
-                lang, share, spans = model.value.label(texts[lo:hi], switch)
-                kinds = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
-                rows = [[{"first_word": a, "words": n, "lang": l} for a, n, l in s] for s in spans]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(rows, kinds)], ["doc_id", "lang_pred", "score", "spans"])
+            lang, share, spans = model.value.label(texts, switch)
+            kinds = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
+            rows = [[{"first_word": a, "words": n, "lang": l} for a, n, l in s] for s in spans]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(lang, pa.string()), pa.array(share, pa.float64()), pa.array(rows, kinds)], ["doc_id", "lang_pred", "score", "spans"])
 
     return trimmed(run)
 
 
 def identify(docs: DataFrame, model: Model | None = None, switch: float = SWITCH, text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, spans): the language that a text both begins and ends in (what stands between is
-    taken as inserted), else the one that most of its letters are labelled with; its share of the letters; and
-    the spans of words by language.
+    """(doc_id, lang_pred, score, spans): the language that most letters of a text are labelled with, its share of the
+    letters, and the spans of words by language.
 
     A text that is null or has no letter is `und` with score 0 and no spans, and so is every text if nothing could
     be learned. Repeated rows are labelled each; a null doc_id stays null and is not learned from. No rows: an
@@ -270,10 +347,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            kept = np.zeros(len(texts), dtype=bool)
-            for lo, hi in groups(texts, 12_000_000):
-                kept[lo:hi] = [l != NO_LANGUAGE for l in model.value.label(texts[lo:hi])[0]]
-            yield b.filter(pa.array(kept)).select(names)
+            found = model.value.label(b.column("text").to_pylist())[0]
+            yield b.filter(pa.array([l != NO_LANGUAGE for l in found], pa.bool_())).select(names)
 
     return docs.mapInArrow(trimmed(run), docs.schema)

@@ -1,15 +1,18 @@
 """Language ID and toxicity: held-out accuracy, chains against brute force, hard cases."""
 
 import random
+import zlib
 from itertools import product
 
 import numpy as np
 import pytest
 
-from tarnbrook.llm import langid, toxicity
+from tarnbrook.llm import langid, queries, toxicity
 from tarnbrook.llm.sampling import bounded_sample
 from tests.llm.util import NASTY, SCHEMA, clashing, documents, empty, prose
 
+DATA = "/root/testdata/sf0.01"
+
 
 @pytest.mark.parametrize("seed", range(4))
 def test_viterbi_equals_brute_force(seed):
@@ -47,6 +50,90 @@ def test_mixed_text_has_spans(spark):
     assert lang == ["de"] and [s[2] for s in spans[0]] == ["en", "de"] and abs(spans[0][1][0] - 40) <= 2
 
 
+def test_a_framed_text_is_of_most_of_its_letters():
+    rng = random.Random(6)
+    texts = {l: [prose(rng, l, 40) for _ in range(60)] for l in ("en", "de")}
+    model = trained(texts)
+    mixed = f"{prose(rng, 'en', 8)} {prose(rng, 'de', 400)} {prose(rng, 'en', 8)}"
+    (lang,), (share,), (spans,) = model.label([mixed])
+    assert lang == "de" and share > 0.9 and [x[2] for x in spans] == ["en", "de", "en"]
+    assert model.label([mixed], framed=True)[0] == ["en"]
+
+
+def trained(texts):
+    """A model by the rule of train(), without Spark."""
+    names = sorted(texts)
+    table, scripts = np.full((len(names), langid.SLOTS), 0.5), np.zeros((len(names), langid.N_SCRIPTS))
+    for i, l in enumerate(names):
+        f = langid.features(texts[l])
+        table[i] += np.bincount(f.slots, minlength=langid.SLOTS)
+        scripts[i] += np.bincount(f.script, weights=f.letters, minlength=langid.N_SCRIPTS)
+    p = table / table.sum(axis=1, keepdims=True)
+    return langid.Model(names, (np.log(p) - np.log(p.mean(axis=0))).astype(np.float32), (scripts >= 0.01 * scripts.sum(axis=1, keepdims=True)).T)
+
+
+def test_word_scores_equal_brute_force(spark):
+    rows = documents(spark, extra=False)
+    model = langid.train(rows)
+    counts = {l: {} for l in model.languages}
+    picked = {r.doc_id for r in rows.selectExpr("doc_id", "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) as f").collect() if r.f != 1}
+
+    def slots(word):
+        padded = [0, *map(ord, word), 0]
+        for a, b, c in zip(padded, padded[1:], padded[2:]):
+            x = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF
+            yield ((x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 16
+
+    words = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    for r in rows.collect():
+        if r.doc_id in picked:
+            for w in words(r.text):
+                for s in slots(w):
+                    counts[r.lang][s] = counts[r.lang].get(s, 0) + 1
+    total = {l: sum(c.values()) + 0.5 * langid.SLOTS for l, c in counts.items()}
+    text = "the house zwischen forêt élève x"
+    got = model.word_scores(langid.features([text]))
+    for w, row in zip(words(text), got):
+        for l, x in zip(model.languages, row):
+            p = {k: [(counts[k].get(s, 0) + 0.5) / total[k] for s in slots(w)] for k in counts}
+            expected = sum(np.log(p[l][i]) - np.log(np.mean([q[i] for q in p.values()])) for i in range(len(w)))
+            assert x == pytest.approx(expected, abs=1e-3)
+
+
+def test_many_languages():
+    rng = np.random.default_rng(0)
+    weights = rng.normal(0, 0.1, (300, langid.SLOTS)).astype(np.float32)
+    text = "some words of a language that comes late in the list"
+    weights[280, langid.features([text]).slots] += 3
+    model = langid.Model([f"l{i:03}" for i in range(300)], weights, np.ones((langid.N_SCRIPTS, 300), bool))
+    lang, share, spans = model.label([text, None, text])
+    assert lang == ["l280", "und", "l280"] and share == [1.0, 0.0, 1.0] and spans[2] == [(0, 11, "l280")]
+
+
+@pytest.mark.parametrize("cells", [200, 1000, 5000])
+def test_long_texts_in_parts(monkeypatch, cells):
+    rng = random.Random(8)
+    model = trained({l: [prose(rng, l, 40) for _ in range(40)] for l in ("en", "de", "fr")})
+    texts = [prose(rng, "en", 30), None, " ".join(prose(rng, l, rng.randint(20, 60)) for l in ("en", "de", "fr", "de")), "x", prose(rng, "fr", 200), ""]
+    whole = model.label(texts)
+    monkeypatch.setattr(langid, "CELLS", cells)
+    assert model.label(texts) == whole
+
+
+def test_marks_belong_to_words():
+    assert langid.features(["हिन्दी में लिखा हुआ"]).words_of.tolist() == [4] and langid.features(["\u0301\u0302 \u0301"]).words_of.tolist() == [0]
+
+
+def test_op3_query(spark):
+    got = queries.op3_language_id(spark, DATA)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    rows, truth = got.collect(), {r.doc_id: r.lang for r in docs.collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows) and len(rows) == len(truth)
+    held = [r for r in rows if r.held_out and truth[r.doc_id]]
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.9 and any(len(r.spans) > 1 for r in rows)
+
+
 def test_scripts_narrow_candidates(spark):
     rows = [(i, t, l, "s", 1) for i, (t, l) in enumerate([("привет мир", "ru"), ("hello world", "en")] * 30)]
     model = langid.train(spark.createDataFrame(rows, SCHEMA))
