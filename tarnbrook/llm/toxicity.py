@@ -22,7 +22,7 @@ from .ngram_join import shingle_sets
 from .sampling import bounded_sample, crc_of_id
 from .words import chunks, hash_prefix, mix64, span_hash, string_buffers, word_spans
 
-#: Documents of each label in the training sample, and windows that the field is fitted to.
+#: Documents of each label in the training sample, and about as many windows of them as the field is fitted to.
 PER_LABEL, WINDOWS = 8000, 10_000
 #: Words on each side of a token in a window.
 SIDE = 6
@@ -132,50 +132,51 @@ def _evidence(marginals: np.ndarray) -> float:
     return float(np.clip(np.log(max(some, 1e-9)) - none, -12, 12))
 
 
+def chain_gradient(theta: np.ndarray, tokens: np.ndarray, labels: np.ndarray, n_features: int) -> np.ndarray:
+    """Gradient of the log-likelihood of label windows in theta (weights, bias, the four transitions): the labels' counts
+    less those that forward and backward messages expect. Windows as for fit_chain()."""
+    n, steps, _ = tokens.shape
+    inside, has = tokens[:, :, 0] != -2, tokens >= 0
+    both = inside[:, 1:] & inside[:, :-1]
+    pair = labels[:, :-1] * 2 + labels[:, 1:]
+    w, bias, moves = theta[:n_features], theta[n_features], theta[n_features + 1 :].reshape(2, 2)
+    u = (np.append(w, 0.0)[np.where(has, tokens, n_features)]).sum(axis=2) + bias
+    step = np.exp(moves)
+    e1 = np.exp(np.clip(u, -30, 30))
+    alpha, beta = np.empty((n, steps, 2)), np.ones((n, steps, 2))
+    a = np.ones((n, 2))
+    for t in range(steps):
+        if t:
+            a = np.where(both[:, t - 1 : t], a @ step, 1.0)
+        a = a * np.stack((np.ones(n), e1[:, t]), axis=1)
+        a /= a.sum(axis=1, keepdims=True)
+        alpha[:, t] = a
+    for t in range(steps - 2, -1, -1):
+        b = (beta[:, t + 1] * np.stack((np.ones(n), e1[:, t + 1]), axis=1)) @ step.T
+        beta[:, t] = np.where(both[:, t : t + 1], b / b.sum(axis=1, keepdims=True), 1.0)
+    p = alpha * beta
+    p = p[:, :, 1] / p.sum(axis=2)
+    after = np.stack((np.ones_like(e1[:, 1:]), e1[:, 1:]), axis=2) * beta[:, 1:]
+    joint = alpha[:, :-1, :, None] * step * after[:, :, None, :]
+    joint /= joint.sum(axis=(2, 3), keepdims=True)
+    off = np.where(inside, labels - p, 0.0)
+    g = np.zeros_like(theta)
+    if n_features:
+        g[:n_features] = np.bincount(tokens[has], weights=np.broadcast_to(off[:, :, None], has.shape)[has], minlength=n_features)[:n_features]
+    g[n_features] = off.sum()
+    g[n_features + 1 :] = [(both & (pair == k)).sum() for k in range(4)] - (joint * both[:, :, None, None]).sum(axis=(0, 1)).reshape(-1)
+    return g
+
+
 def fit_chain(tokens: np.ndarray, labels: np.ndarray, n_features: int, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and transitions of a two-state field by gradient ascent (Adam) on the likelihood of label
     windows. tokens [windows, words, features of a word] holds feature numbers, -1 for none and -2 in the first
     place for a position outside the text; labels [windows, words] is 0 or 1."""
-    n, steps, _ = tokens.shape
-    inside = tokens[:, :, 0] != -2
-    has = tokens >= 0
-    flat = np.where(has, tokens, 0)
     theta = np.zeros(n_features + 5)
     theta[n_features] = -3.0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    y = labels.astype(np.float64)
-    both = inside[:, 1:] & inside[:, :-1]
-    pair = labels[:, :-1] * 2 + labels[:, 1:]
-    seen_moves = np.array([(both & (pair == k)).sum() for k in range(4)], dtype=np.float64)
     for turn in range(1, rounds + 1):
-        w, bias, moves = theta[:n_features], theta[n_features], theta[n_features + 1 :].reshape(2, 2)
-        u = (np.append(w, 0.0)[np.where(has, tokens, n_features)]).sum(axis=2) + bias
-        step = np.exp(moves)
-        e1 = np.exp(np.clip(u, -30, 30))
-        alpha = np.empty((n, steps, 2))
-        beta = np.ones((n, steps, 2))
-        a = np.ones((n, 2))
-        for t in range(steps):
-            if t:
-                moved = a @ step
-                a = np.where(both[:, t - 1 : t], moved, 1.0)
-            a = a * np.stack((np.ones(n), e1[:, t]), axis=1)
-            a /= a.sum(axis=1, keepdims=True)
-            alpha[:, t] = a
-        for t in range(steps - 2, -1, -1):
-            b = (beta[:, t + 1] * np.stack((np.ones(n), e1[:, t + 1]), axis=1)) @ step.T
-            beta[:, t] = np.where(both[:, t : t + 1], b / b.sum(axis=1, keepdims=True), 1.0)
-        p = alpha * beta
-        p = p[:, :, 1] / p.sum(axis=2)
-        after = np.stack((np.ones_like(e1[:, 1:]), e1[:, 1:]), axis=2) * beta[:, 1:]
-        joint = alpha[:, :-1, :, None] * step * after[:, :, None, :]
-        joint /= joint.sum(axis=(2, 3), keepdims=True)
-        off = np.where(inside, y - p, 0.0)
-        g = np.zeros_like(theta)
-        g[:n_features] = np.bincount(flat[has], weights=np.broadcast_to(off[:, :, None], has.shape)[has], minlength=n_features)[:n_features] if n_features else 0
-        g[n_features] = off.sum()
-        g[n_features + 1 :] = seen_moves - (joint * both[:, :, None, None]).sum(axis=(0, 1)).reshape(-1)
-        g = g / n - decay * theta
+        g = chain_gradient(theta, tokens, labels, n_features) / len(tokens) - decay * theta
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         theta += rate * (1 - turn / (rounds + 1)) * (m1 / (1 - 0.9**turn)) / (np.sqrt(m2 / (1 - 0.999**turn)) + 1e-9)
     return theta[:n_features], float(theta[n_features]), theta[n_features + 1 :].reshape(2, 2)
@@ -183,7 +184,7 @@ def fit_chain(tokens: np.ndarray, labels: np.ndarray, n_features: int, rounds: i
 
 def _signed(batches):
     """Three min-hashes of the five-word shingles of each text: copies and near copies would count one find many
-    times, so of texts with an equal one the sample keeps one."""
+    times, so of texts with an equal one the sample keeps one, a toxic one if there is one, of the least id."""
     for b in batches:
         sets = shingle_sets(*string_buffers(b.column("text")))
         least = [[int(mix64(x + _U(k * 0x1F3D)).min()) if len(x) else 0 for x in sets] for k in range(1, 4)]
@@ -253,28 +254,29 @@ def _tag(field, spans: bool):
                 hits = look(_hashes(raw, starts, ends))
                 at = np.flatnonzero((hits >= 0).any(axis=1))
                 unary = np.append(f.weights, 0.0)[hits[at]].sum(axis=1)
-                doc = np.searchsorted(first, at, side="right") - 1
+                doc, chars = np.searchsorted(first, at, side="right") - 1, None  # code points before each byte, once they are asked for
                 for d in np.unique(doc).tolist():
                     own = doc == d
                     place = at[own]
                     p = f.marginals(place - first[d], unary[own], int(first[d + 1] - first[d]))
                     scores[lo + d] = f.score(p)
-                    if spans:
-                        found[lo + d] = _spans(raw, int(offsets[d]), place, starts, ends, p)
+                    if spans and p.max() >= 0.5:
+                        if chars is None:
+                            chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+                        found[lo + d] = _spans(place, chars[starts[place]] - chars[offsets[d]], chars[ends[place]] - chars[offsets[d]], p)
             cols = [b.column("doc_id"), pa.array(scores)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(found, kinds)] if spans else cols, ["doc_id", "score", "spans"] if spans else ["doc_id", "score"])
 
     return trimmed(run)
 
 
-def _spans(raw, begin: int, place, starts, ends, p) -> list[dict]:
-    """Runs of neighbouring words tagged toxic, as code point offsets."""
+def _spans(place: np.ndarray, begins: np.ndarray, ends: np.ndarray, p: np.ndarray) -> list[dict]:
+    """Runs of neighbouring words tagged toxic, with their code point offsets."""
     out: list[dict] = []
     last = None
-    for w, q in zip(place.tolist(), p.tolist()):
+    for w, a, z, q in zip(place.tolist(), begins.tolist(), ends.tolist(), p.tolist()):
         if q < 0.5:
             continue
-        a, z = (len(raw[begin : int(x)].tobytes().decode("utf-8", "replace")) for x in (starts[w], ends[w]))
         if last == w - 1:
             out[-1]["end"], out[-1]["probability"] = z, max(out[-1]["probability"], q)
         else:
@@ -293,7 +295,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, window
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     sample = src.join(F.broadcast(picked), "doc_id").mapInArrow(_signed, "doc_id long, text string, toxic int, s0 long, s1 long, s2 long")
     for i in range(3):
-        sample = sample.dropDuplicates([f"s{i}"])
+        kept = sample.groupBy(f"s{i}").agg(F.min_by(F.struct(*[c for c in sample.columns if c != f"s{i}"]), F.struct(-F.col("toxic"), "doc_id", "text")).alias("row"))
+        sample = kept.select(f"s{i}", "row.*")
     sample = materialize(sample.select("doc_id", "text", "toxic"), "toxic-sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     blank = Field(np.zeros(0, _U), np.zeros(0), -20.0, np.zeros((2, 2)), 1.0, -20.0)
@@ -312,8 +315,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, window
     if not len(features):
         return blank
     shared = spark.sparkContext.broadcast(features)
-    cut = sample.mapInArrow(_windows(shared, SIDE), "doc_id long, at int, toxic int, tokens binary")
-    got = cut.orderBy(F.xxhash64("doc_id", "at"), "tokens").limit(windows).toPandas()
+    cut = materialize(sample.mapInArrow(_windows(shared, SIDE), "doc_id long, at int, toxic int, tokens binary"), "toxic-windows")
+    share_of = min(1.0, windows / max(cut.count(), 1))
+    picks = F.pmod(F.xxhash64("doc_id", "at", "tokens"), F.lit(1 << 30)) <= F.lit(int(share_of * (1 << 30)))
+    got = cut.where(picks).toPandas().sort_values(["doc_id", "at", "tokens"], kind="stable")
     width = 2 * SIDE + 1
     tokens = np.frombuffer(b"".join(got["tokens"]), dtype=np.int32).reshape(-1, width, 1 + len(PREFIXES))
     marked = (tokens >= 0).any(axis=2) & (got["toxic"].to_numpy()[:, None] == 1)

@@ -1,10 +1,12 @@
 """Language ID and toxicity: held-out accuracy, chains against brute force, hard cases."""
 
 import random
+import time
 import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnbrook.llm import langid, queries, toxicity
@@ -170,6 +172,71 @@ def test_marginals_equal_brute_force():
     assert field.marginals(at, unary, n) == pytest.approx([sum(w for p, w in weight.items() if p[i]) / total for i in at], abs=1e-9)
 
 
+def test_gradient_equals_differences_of_the_brute_force_likelihood():
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(-1, 3, (3, 5, 2)).astype(np.int32)
+    tokens[0, :2], tokens[1, 4:] = -2, -2
+    labels = (rng.random((3, 5)) < 0.4).astype(np.int64) * (tokens[:, :, 0] != -2)
+    theta = rng.normal(0, 0.7, 3 + 5)
+
+    def likelihood(th):
+        total = 0.0
+        for x, y in zip(tokens, labels):
+            own = [i for i in range(5) if x[i, 0] != -2]
+            u = [sum(th[f] for f in x[i] if f >= 0) + th[3] for i in own]
+            value = lambda p: sum(a * b for a, b in zip(u, p)) + sum(th[4 + 2 * a + b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+            total += value([int(y[i]) for i in own]) - np.log(sum(np.exp(value(p)) for p in product((0, 1), repeat=len(own))))
+        return total
+
+    step = 1e-6 * np.eye(len(theta))
+    expected = [(likelihood(theta + d) - likelihood(theta - d)) / 2e-6 for d in step]
+    assert toxicity.chain_gradient(theta, tokens, labels, 3) == pytest.approx(expected, abs=1e-5)
+
+
+def test_fit_raises_the_likelihood_to_its_peak():
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(-1, 4, (200, 7, 1)).astype(np.int32)
+    labels = ((tokens[:, :, 0] == 2) & (rng.random((200, 7)) < 0.9)).astype(np.int64)
+    w, bias, moves = toxicity.fit_chain(tokens, labels, 4, rounds=600)
+    g = toxicity.chain_gradient(np.concatenate((w, [bias], moves.reshape(-1))), tokens, labels, 4) / 200
+    assert np.abs(g).max() < 2e-3 and w[2] > 2 + max(w[0], w[1], w[3])
+
+
+def test_spans_take_linear_time():
+    field = toxicity.Field(np.sort(toxicity._hashes(np.frombuffer(b"scum", np.uint8), np.array([0]), np.array([4]))[0, :1]), np.array([9.0]), -3.0, np.zeros((2, 2)), 1.0, 0.0)
+
+    class Shared:
+        value = field
+
+    text = "é " + "scum ok " * 40_000
+    began = time.perf_counter()
+    (out,) = toxicity._tag(Shared, True)([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})])
+    spans = out.column("spans").to_pylist()[0]
+    assert time.perf_counter() - began < 8 and len(spans) == 40_000 and all(text[x["begin"] : x["end"]] == "scum" for x in spans)
+
+
+def test_op6_query(spark):
+    got = queries.op6_toxicity(spark, DATA)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    rows = got.collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    assert len(rows) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.9
+    assert all(0 <= s.begin < s.end <= len(docs[r.doc_id]) for r in rows for s in r.spans)
+    assert sum(len(r.spans) > 0 for r in rows if r.predicted) >= 0.8 * sum(r.predicted for r in rows) > 0
+
+
+def test_of_equal_texts_the_sample_keeps_a_toxic_one(spark):
+    docs, labels = labelled(spark, 100)
+    twice = docs.unionByName(docs.selectExpr("doc_id + 1000 as doc_id", "text", "lang", "source", "n_chars"))
+    clean = labels.selectExpr("doc_id + 1000 as doc_id", "quality", "0 as toxic")
+    a = toxicity.train(twice.repartition(5), labels.unionByName(clean))
+    b = toxicity.train(twice.repartition(2), labels.unionByName(clean))
+    assert len(a.features) and a.features.tolist() == b.features.tolist() and a.weights == pytest.approx(b.weights) and (a.slope, a.shift) == pytest.approx((b.slope, b.shift))
+
+
 def test_toxicity(spark):
     docs, labels = labelled(spark)
     field = toxicity.train(docs, labels)
