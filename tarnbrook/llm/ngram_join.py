@@ -357,3 +357,26 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     with_digest = docs.withColumn(digest, F.xxhash64(F.col("text").cast("string")))
     found = with_digest.join(kept, (with_digest["doc_id"].cast("long") == kept["kept_id"]) & (with_digest[digest] == kept["kept_digest"]), "left_semi")
     return found.dropDuplicates(["doc_id", digest]).select(names).unionByName(docs.where("doc_id is null"))
+
+
+SQL = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+  from words
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as held from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * held >= 75 * (x.n + y.n - held)
+),
+reach(node, reached) as (
+  select doc_id, doc_id from documents
+  union
+  select r.node, l.b from reach r join (select a, b from links union all select b, a from links) l on l.a = r.reached
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, (select min(reached) from reach where node = d.doc_id) as component_id
+from documents d left join sizes using (doc_id)
+"""

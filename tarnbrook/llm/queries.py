@@ -44,7 +44,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_pages(_table(spark, sf_dir, "pages"))
-    found = warc.read_records(spark, folder, payload=False).where(F.col("record_type").isin("response", "revisit"))
+    found = warc.read_records(spark, folder, payload=False, verify=True).where(F.col("record_type").isin("response", "revisit"))
     return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
 
 
@@ -74,4 +74,4 @@ QUERIES = {
     "op10_token_ids": op10_token_ids,
 }
 
-ORACLES = {"op5_chat_format": chat.SQL, "op9_cover_tree_topk": cover_tree.SQL}
+ORACLES = {"op2_ngram_jaccard_join": ngram_join.SQL, "op7_warc": warc.SQL, "op5_chat_format": chat.SQL, "op9_cover_tree_topk": cover_tree.SQL}

@@ -2,7 +2,8 @@
 
 Reading plans a partition for each archive file, takes predicates on record_type and other header columns, parses
 the headers of a record first, and passes over the block of a record that the predicates turn down or whose payload
-isn't asked for (option payload=false) without reading it. Writing is an Arrow writer whose commit publishes a list
+isn't asked for (option payload=false) without reading it. An archive that ends within a record is an error with any
+options; with verify=true stored payloads are read and must have the length and digest that their headers tell. Writing is an Arrow writer whose commit publishes a list
 of the files of the attempts that Spark has committed; readers go by these lists, so files of lost or repeated
 attempts are never seen."""
 
@@ -55,9 +56,20 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
+CUT = "the archive ends within a record"
+
+
+def _end(f) -> None:
+    """The line end after a block, which is missing if the archive was cut, also within a block that was passed over."""
+    if f.readline() not in (b"\r\n", b"\n"):
+        raise ValueError(CUT)
+
+
 def _headers(f) -> dict[bytes, bytes]:
     found, last = {}, None
-    while (line := f.readline()) not in (b"\r\n", b"\n", b""):
+    while (line := f.readline()) not in (b"\r\n", b"\n"):
+        if not line.endswith(b"\n"):
+            raise ValueError(CUT)
         if line[:1] in b" \t" and last:
             found[last] += b" " + line.strip()
             continue
@@ -67,7 +79,7 @@ def _headers(f) -> dict[bytes, bytes]:
     return found
 
 
-def records(f, wanted=None, payloads: bool = True):
+def records(f, wanted=None, payloads: bool = True, verify: bool = False):
     """The records of an archive as tuples of SCHEMA; `wanted(headers)` is asked before the block is looked at."""
     while line := f.readline():
         if not line.strip():
@@ -78,6 +90,7 @@ def records(f, wanted=None, payloads: bool = True):
         left = int(h.get(b"content-length", b"0"))
         if wanted is not None and not wanted(h):
             f.seek(left, io.SEEK_CUR)
+            _end(f)
             continue
         size, stored = left, h.get(b"warc-type") != b"revisit"
         if h.get(b"content-type", b"").startswith(b"application/http"):
@@ -87,14 +100,18 @@ def records(f, wanted=None, payloads: bool = True):
             left -= f.tell() - begin
             size = left if size < 0 else size
         payload = None
-        if payloads and stored:
+        if stored and (payloads or verify):
             payload = f.read(left)
             if len(payload) < left:
-                raise ValueError("the archive ends within a record")
+                raise ValueError(CUT)
         else:
             f.seek(left, io.SEEK_CUR)
+        _end(f)
         text = {c: h[n].decode("utf-8", "replace") if n in h else None for c, n in HEADER_OF.items()}
         digest = (text["payload_digest"] or "").rpartition(":")[2] or None
+        if verify and stored and ((digest or digest_of(payload)) != digest_of(payload) or size != len(payload)):
+            raise ValueError(f"the payload of {text['record_id']} is not what its headers tell")
+        payload = payload if payloads else None
         yield text["record_id"], text["record_type"], text["target_uri"], text["date"], digest, text["refers_to"], size, payload
 
 
@@ -107,6 +124,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payloads = options.get("payload", "true").lower() != "false"
+        self.verify = options.get("verify", "false").lower() == "true"
         self.tests: list[tuple[bytes, str, object]] = []
 
     def pushFilters(self, filters):
@@ -150,7 +168,7 @@ class WarcReader(DataSourceReader):
         kinds = [pa.string()] * 6 + [pa.int64(), pa.binary()]
         rows, size = [], 0
         with _open(partition.value) as f:
-            for r in records(f, self._wanted if self.tests else None, self.payloads):
+            for r in records(f, self._wanted if self.tests else None, self.payloads, self.verify):
                 rows.append(r)
                 size += len(r[-1] or b"") + 200
                 if size > 4 << 20:
@@ -221,13 +239,14 @@ def register(spark: SparkSession) -> None:
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): of pages with equal payloads of at least `least_bytes`, all but the one
-    with the smallest page_id refer to it. Only digests and ids are grouped and joined on the digest. The list of pages
-    that refer to others is written first, so that Spark knows its size when it joins the payloads with it: it is
-    broadcast below the session's limit, and only beyond that payloads move, once, by page."""
+    with the smallest page_id refer to it. Only digests and ids are grouped and joined on the digest. The digests that
+    more than one page has are written first, so that the join on them, where one digest may be that of a third of all
+    pages, is not tied to the aggregate's partitions and can be split. So is the list of pages that refer to others:
+    it is broadcast below the session's limit, and only beyond that payloads move, once, by page."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     ids = src.select("page_id", F.unhex(F.sha1("payload")).alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= least_bytes)
     first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where(F.col("last") > F.col("refers_to")).select("digest", "refers_to")
-    later = ids.join(first, "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", F.col("digest").alias("same"), "refers_to").distinct()
+    later = ids.join(materialize(first, "warc-digests"), "digest").where(F.col("page_id") > F.col("refers_to")).select("page_id", F.col("digest").alias("same"), "refers_to").distinct()
     own = src.withColumn("same", F.unhex(F.sha1("payload")))
     return own.join(materialize(later, "warc-revisits"), ["page_id", "same"], "left").select("page_id", "url", "payload", "refers_to")
 
@@ -244,11 +263,22 @@ def write_pages(pages: DataFrame, folder: str | None = None, least_bytes: int =
     return folder
 
 
-def read_records(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+def read_records(spark: SparkSession, folder: str, payload: bool = True, verify: bool = False) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(folder)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("verify", str(verify).lower()).load(folder)
 
 
 def page_of(record_id):
     """The page_id in a record id written here."""
     return F.regexp_extract(record_id, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+
+
+SQL = """
+with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h from pages),
+f as (select h, min(page_id) as least from p group by h)
+select page_id, cast(n as bigint) as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(p.h, 5 * (i // 4) + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31) as bigint), 1)), '') as payload_digest,
+       case when page_id > least then 'revisit' else 'response' end as record_type,
+       case when page_id > least then least end as refers_to
+from p join f on p.h = f.h
+"""

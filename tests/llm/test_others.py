@@ -80,7 +80,7 @@ def test_blocks_are_bounded(spark):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("embeddings", "conversations"):
+    for t in ("embeddings", "conversations", "documents", "pages"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
 
@@ -148,6 +148,36 @@ def test_warc_predicates_are_pushed_and_blocks_skipped(tmp_path):
     assert [b.column("record_id").to_pylist() for b in reader.read(partition)] == [["<urn:page:2>"]]
 
 
+@pytest.mark.parametrize("suffix", ["", ".gz"])
+def test_cut_and_changed_archives_are_errors(tmp_path, suffix):
+    import gzip
+
+    body = warc.record(1, "u", b"first " * 50) + warc.record(2, "u", b"payload " * 50) + warc.record(3, "v", b"x", 1)
+    path = tmp_path / f"x.warc{suffix}"
+
+    def read(data, **options):
+        path.write_bytes(gzip.compress(data) if suffix else data)
+        with warc._open(str(path)) as f:
+            return list(warc.records(f, **options))
+
+    wanted = lambda h: h[b"warc-record-id"] == b"<urn:page:3>"
+    every = [{}, {"payloads": False}, {"payloads": False, "verify": True}, {"wanted": lambda h: False}, {"wanted": wanted}]
+    starts = [0, len(warc.record(1, "u", b"first " * 50)), len(warc.record(1, "u", b"first " * 50) + warc.record(2, "u", b"payload " * 50)), len(body)]
+    for options in every:
+        read(body, **options)
+        for cut in range(1, len(body), 7):
+            whole = any(0 <= s - cut <= 2 for s in starts)  # all but the last line ends
+            if whole:
+                read(body[:cut], **options)
+            else:
+                with pytest.raises(ValueError):
+                    read(body[:cut], **options)
+    changed = body.replace(b"first first", b"first First", 1)
+    assert len(read(changed, payloads=False)) == 3
+    with pytest.raises(ValueError):
+        read(changed, payloads=False, verify=True)
+
+
 HTML = [
     ("<html><body><nav><a href=x>menu</a></nav><article><h1>T &amp; U</h1><p>First <b>bold</b>\n  text<br>next</p><p>Second</article><footer>foot</footer>", "T & U\nFirst bold text next\nSecond"),
     ("<body><div class='sidebar'>side</div><div id=main><p>Hello there, this is the long text of a page.</p><p>Short.</p></div><div class=comments><p>nice post</p></div>", "Hello there, this is the long text of a page.\nShort."),
