@@ -6,8 +6,11 @@ a group of data around c with radius r no inner product exceeds <p, c> + |p| r +
 the worst kth score of the query group is pruned, else the wider node is opened. Pairs are taken best bound first,
 so good scores come early. Nothing is approximated: what is left at the leaves is scored in full.
 
-On a cluster each task indexes blocks of its own rows; queries come in blocks of bounded size, which are broadcast
-one after the other, and only each block's k best candidates of each query are shuffled."""
+On a cluster the queries are written as files of bounded size in the shared folder. Each task indexes blocks of its own
+rows and goes through these files, a query block at a time, so the search is a grid of query blocks by data blocks in
+one job, without a loop on the driver, and only each data block's k best candidates of each query are shuffled. Of
+more rows than a block a share is searched first: what it finds bounds each query's kth score from below, so the
+blocks of the rest prune from the start and hand on few candidates."""
 
 from __future__ import annotations
 
@@ -15,11 +18,16 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Centres of a split; points of a leaf; queries of a broadcast block; vectors of a tree.
-FAN, LEAF, QUERY_BLOCK, DATA_BLOCK = 12, 96, 8192, 65_536
+from . import storage
+from .common import materialize, new_path, trimmed
+
+#: Centres of a split; points of a leaf; queries of a file; vectors of a tree.
+FAN, LEAF, QUERY_BLOCK, DATA_BLOCK = 12, 96, 8192, 131_072
+_STEPS, _NO_ID = 1 << 30, np.iinfo(np.int64).max
 
 
 class CoverTree:
@@ -71,12 +79,13 @@ class CoverTree:
 
 
 class TopK:
-    """The k best candidates of each query so far: higher scores first, then smaller ids."""
+    """The k best candidates of each query so far: higher scores first, then smaller ids. Places that are not taken have
+    a lower bound of the kth score and no id."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, bounds: np.ndarray | None = None):
         self.k = k
-        self.scores = np.full((queries, k), -np.inf)
-        self.ids = np.full((queries, k), np.iinfo(np.int64).max)
+        self.scores = np.repeat((np.full(queries, -np.inf) if bounds is None else bounds)[:, None], k, axis=1)
+        self.ids = np.full((queries, k), _NO_ID)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         some = (scores >= self.scores[rows, -1:]).any(axis=1)
@@ -139,35 +148,47 @@ def _vectors(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _search(shared, k: int, block: int):
-    """For each block of data rows the k best of each query of the same dimension."""
+def _by_dimension(table) -> dict[int, pa.Table]:
+    dims = table.column("dim").to_numpy()
+    return {d: table.filter(pa.array(dims == d)) for d in np.unique(dims).tolist()}
+
+
+def _of_dimension(table, dim: int) -> np.ndarray:
+    column = table.column("v")
+    return _vectors(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column) if dim else np.zeros((len(table), 0))
+
+
+def _search(folder: str, k: int, block: int):
+    """For each block of data rows the k best of each query of the same dimension that reach the query's bound. The
+    queries are read from the files in `folder`."""
 
     def run(batches):
-        trees = {dim: (CoverTree(x, leaf=32), ids, numbers) for dim, (x, ids, numbers) in shared.value.items()}
+        names = sorted(n for n in storage.list_names(folder) if n.endswith(".parquet"))
         held: dict[int, list] = {}
 
         def results(dim):
             x, ids = (np.concatenate(p) for p in zip(*held.pop(dim)))
-            tree, query_ids, numbers = trees[dim]
-            found = TopK(len(query_ids), k)
-            dual_search(tree, query_ids, CoverTree(x), ids, found)
-            q, r = np.nonzero(found.scores > -np.inf)
-            return pa.RecordBatch.from_arrays([pa.array(numbers[q]), pa.array(query_ids[q]), pa.array(found.ids[q, r]), pa.array(found.scores[q, r].astype(np.int64))], ["query", "query_id", "vec_id", "score"])
+            data = CoverTree(x)
+            for name in names:
+                with storage.open_input(f"{folder}/{name}") as f:
+                    own = _by_dimension(pq.read_table(f)).get(dim)
+                if own is None:
+                    continue
+                numbers, query_ids = own.column("query").to_numpy(), own.column("vec_id").to_numpy()
+                found = TopK(len(query_ids), k, own.column("bound").to_numpy())
+                dual_search(CoverTree(_of_dimension(own, dim), leaf=32), query_ids, data, ids, found)
+                q, r = np.nonzero((found.ids < _NO_ID) & (found.scores > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), pa.array(query_ids[q]), pa.array(found.ids[q, r]), pa.array(found.scores[q, r].astype(np.int64))], ["query", "query_id", "vec_id", "score"])
 
         for b in batches:
-            sizes = b.column("dim").to_numpy()
-            for dim in np.unique(sizes).tolist():
-                if dim not in trees:
-                    continue
-                part = b.filter(pa.array(sizes == dim))
-                x = _vectors(part.column("v")) if dim else np.zeros((len(part), 0))
-                held.setdefault(dim, []).append((x, part.column("vec_id").to_numpy()))
+            for dim, part in _by_dimension(b).items():
+                held.setdefault(dim, []).append((_of_dimension(part, dim), part.column("vec_id").to_numpy()))
                 if sum(len(i) for _, i in held[dim]) >= block:
-                    yield results(dim)
+                    yield from results(dim)
         for dim in list(held):
-            yield results(dim)
+            yield from results(dim)
 
-    return run
+    return trimmed(run)
 
 
 def usable(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -178,7 +199,20 @@ def usable(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return kept.select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda c: F.floor(c * float(scale)).cast("double")).alias("v"))
 
 
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _best(data: DataFrame, queries: DataFrame, k: int, query_block: int, data_block: int) -> DataFrame:
+    """(query, query_id, vec_id, score, rank): the k best rows of `data` for each of `queries` (query, vec_id, dim, v, bound)."""
+    folder = new_path(data.sparkSession, "topk-queries")
+    queries.write.option("maxRecordsPerFile", query_block).parquet(folder)
+    found = data.mapInArrow(_search(folder, k, data_block), "query long, query_id long, vec_id long, score long")
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, query_block: int = QUERY_BLOCK, data_block: int = DATA_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, the k other rows with the
     highest inner product of the scaled integer vectors, ties to the smaller vec_id; all of them, if fewer.
 
@@ -186,31 +220,20 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, que
     those of the same length only; two empty ones score 0. Repeated equal rows are one query, and candidates as often
     as they come, but never of their own vec_id; a repeated vec_id with another vector is another query. No rows or no
     queries: an empty table. Other columns are not read. Sums are exact while they stay below 2^53."""
-    spark = vectors.sparkSession
     data = usable(vectors, scale)
     queries = data.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
-    total = queries.count()
-    cuts: list[int] = []
-    if total > query_block:
-        n = -(-2 * total // query_block)
-        cuts = sorted(set(queries.agg(F.percentile_approx("vec_id", [i / n for i in range(1, n)], 100_000)).first()[0]))
-    found = None
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        own = queries
-        own = own if lo is None else own.where(F.col("vec_id") > lo)
-        own = own if hi is None else own.where(F.col("vec_id") <= hi)
-        rows = own.orderBy("vec_id", "v").toArrow()
-        dims = rows.column("dim").to_numpy()
-        block = {}
-        for dim in np.unique(dims).tolist():
-            part = rows.filter(pa.array(dims == dim)).combine_chunks()
-            x = _vectors(part.column("v").combine_chunks()) if dim else np.zeros((len(part), 0))
-            block[dim] = (x, part.column("vec_id").to_numpy(), np.flatnonzero(dims == dim))
-        best = data.mapInArrow(_search(spark.sparkContext.broadcast(block), k, DATA_BLOCK), "query long, query_id long, vec_id long, score long")
-        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-        ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        found = ranked if found is None else found.unionByName(ranked)
-    return found
+    queries = materialize(queries.withColumn("query", F.monotonically_increasing_id()), "topk-numbered")
+    unbound = queries.withColumn("bound", F.lit(float("-inf")))
+    total = data.count()
+    if total <= data_block:
+        return _best(data, unbound, k, query_block, data_block).select("query_id", "rank", "vec_id", "score")
+    share = (data_block / total) ** 0.5
+    is_first = F.pmod(F.xxhash64("vec_id"), F.lit(_STEPS)) < int(share * _STEPS)
+    first = materialize(_best(data.where(is_first), unbound, k, query_block, data_block).drop("rank"), "topk-first")
+    bounds = first.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("known"))
+    bound = queries.join(bounds, "query", "left").withColumn("bound", F.coalesce("known", F.lit(float("-inf")))).drop("known")
+    rest = _best(data.where(~is_first), bound, k, query_block, data_block).drop("rank")
+    return _ranked(first.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

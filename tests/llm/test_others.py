@@ -230,14 +230,14 @@ def brute_top(vectors, every, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [7, 10_000])
-def test_top_k(spark, block):
+@pytest.mark.parametrize("block, data_block", [(7, 10_000), (10_000, 50), (10, 7)])
+def test_top_k(spark, block, data_block):
     rng = random.Random(6)
     vectors = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
     vectors += [(400 + i, list(vectors[3][1])) for i in range(30)]  # ties
     vectors += [(500, None), (510, [1.0, None]), (520, [float("nan")] * 6), (530, [float("inf")] * 6), (None, [1.0] * 6), (540, [1.0, 2.0]), (541, [0.5, 1.0]), (550, [])]
     table = clashing(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3))
-    assert rows(cover_tree.top_k(table, every=10, query_block=block), "query_id", "rank", "vec_id", "score") == brute_top(vectors, 10, 5)
+    assert rows(cover_tree.top_k(table, every=10, query_block=block, data_block=data_block), "query_id", "rank", "vec_id", "score") == brute_top(vectors, 10, 5)
     assert cover_tree.top_k(table.where("false")).count() == 0
     assert cover_tree.top_k(table.where("vec_id = 10"), every=10).count() == 0
 
