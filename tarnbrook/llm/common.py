@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local mode) a folder of our own."""
+    """The folder in spark.checkpoint.dir; in local mode, where that is unset, a folder of our own. On a cluster such a
+    folder would be another one on each machine, and rows would be lost without a word."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     own = os.path.join(tempfile.gettempdir(), "checkpoints")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"

@@ -8,7 +8,8 @@ counts of all its own ids, so it can be read alone, nothing has to be known of t
 written, and its 256 most frequent ids take one byte.
 
 Shards are written in ascending order of doc_id: ranges of doc_id are dealt to tasks, each sorts its own, and cuts
-it into shards of a bounded number of ids."""
+it into shards of a bounded number of ids. A doc_id (or null) of more rows than a range is dealt over as many tasks
+as it fills, by its rows' ids."""
 
 from __future__ import annotations
 
@@ -89,22 +90,29 @@ def read_shard(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 #: Ids of a shard.
 SHARD_IDS = 4_000_000
+#: What a row without doc_id is ordered as.
+NULL_ID = -(1 << 63)
 
 
 def _encode(path: str, width: str, cuts):
-    """Ids of each document, with the range of doc_id that it falls in; documents without doc_id are in the first."""
+    """Ids of each document, with the range of doc_id that it falls in; documents without doc_id are in the first. Equal
+    cuts are ranges of one doc_id, over which its rows are spread."""
 
     def run(batches):
         for b in batches:
             ids_of = b.column("doc_id")
-            part = np.searchsorted(cuts.value, ids_of.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
+            keys = ids_of.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            part = np.searchsorted(cuts.value, keys, side="left").astype(np.int32)
+            own = np.maximum(np.searchsorted(cuts.value, keys, side="right") - part, 1)
             at = 0
             for ids, sizes in encoder(path).encode(b.column("text")):
                 here = slice(at, at + len(sizes))
                 at += len(sizes)
                 ends = np.concatenate(([0], np.cumsum(sizes))) * np.dtype(width).itemsize
-                own = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(width).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(part[here]), ids_of.slice(here.start, len(sizes)), own], ["part", "doc_id", "ids"])
+                for i in np.flatnonzero(own[here] > 1).tolist():
+                    part[here.start + i] += zlib.crc32(ids[ends[i] // np.dtype(width).itemsize : ends[i + 1] // np.dtype(width).itemsize].tobytes()) % int(own[here.start + i])
+                body = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(width).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part[here]), ids_of.slice(here.start, len(sizes)), body], ["part", "doc_id", "ids"])
 
     return trimmed(run)
 
@@ -151,10 +159,10 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
     width = "<u2" if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = partitions_for(src)
-    found = src.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    cuts = spark.sparkContext.broadcast(np.array(sorted(set(found)), dtype=np.int64))
+    found = src.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NULL_ID)), [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    cuts = spark.sparkContext.broadcast(np.array(sorted(found), dtype=np.int64))
     ids = src.mapInArrow(_encode(path, width, cuts), "part int, doc_id long, ids binary")
-    ordered = ids.repartition(n, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
+    ordered = ids.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
     return materialize(ordered.mapInArrow(_write(folder, width, shard_ids), "path string, part int, seq int, documents long, n_ids long"), "token-shards")
 
 

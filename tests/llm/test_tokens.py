@@ -159,6 +159,33 @@ def test_files_round_trip(spark, tmp_path, change):
     assert token_io.read_ids(token_io.write_ids(empty(spark))).count() == 0
 
 
+def test_a_hot_doc_id_is_dealt_over_tasks(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} of many") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    shards = token_io.write_ids(docs, f"file://{tmp_path}/hot")
+    assert max(r.documents for r in shards.collect()) < 200
+    got = sorted(token_io.read_ids(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert sorted(bytes(r.ids) for r in got) == sorted(np.array(by_library(t) + [0], dtype="<u4").tobytes() for _, t in rows)
+    assert [r.start for r in got] == [sum(len(x.ids) // 4 for x in got[:i]) for i in range(len(got))]
+
+
+def test_op1_query(spark):
+    from tarnbrook.llm.queries import op1_best_fit_packing
+
+    got = op1_best_fit_packing(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    kinds = dict(got.dtypes)
+    assert kinds["piece"] == "int" and {kinds[c] for c in ("doc_id", "start", "length", "ids_crc32", "sequence_id", "offset")} == {"bigint"}
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    seen = {}
+    for r in got.collect():
+        ids = np.array(by_library(texts[r.doc_id]) + [0], dtype="<u4")[r.start : r.start + r.length]
+        assert len(ids) == r.length <= 2048 and zlib.crc32(ids.tobytes()) == r.ids_crc32
+        seen.setdefault(r.doc_id, []).append(r.length)
+    assert {d: sum(x) for d, x in seen.items()} == {d: len(by_library(t)) + 1 for d, t in texts.items()}
+
+
 def test_damage_is_noticed(tmp_path):
     with open(tmp_path / "x", "wb") as f:
         token_io.write_shard(f, [1, None], [np.array([5, 5, 9], "<u4").tobytes(), b""])
