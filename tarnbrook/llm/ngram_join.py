@@ -1,18 +1,22 @@
 """N-gram Jaccard join: which texts share at least 75 % of their distinct word shingles, and the groups they form.
 
-The document by n-gram incidence matrix is held as 64-bit shingle hashes, its columns counted in blocks (hash
-ranges), each of a size that fits one task; its product with its transpose is not carried out:
-
-1. Scan: the distinct shingles of each text; texts with the same set are one row of the matrix from then on
-   (`key`, a digest of the set). Columns that a large share of the rows hold are found on the way.
-2. Column blocks: each counts its columns; a column that only one row holds can't add to an overlap and goes.
-3. Row blocks: each row sorts its columns from rare to frequent. A row of n shingles can reach the threshold
-   only with rows that share one of its first n - ceil(t n) + 1 columns (unshared ones first), so a row whose
-   unshared columns fill that prefix is settled here.
-4. Overlaps are taken for candidate pairs only, by intersecting two rows: first each row against one pivot per column, then, where a
-   column still holds rows of different groups, the pairs between groups, each pair bounded by sizes and
-   positions. Rows that a pivot has joined are not compared with each other, so a group of n copies costs about
-   n comparisons and no link between groups is lost.
+A blocked sparse product of the document by n-gram incidence matrix, in which a pair of rows is dropped as soon as
+bounds from sizes show that its overlap can't reach the threshold:
+
+1. Scan: the distinct shingles of each text; texts with the same set are one row of the matrix from then on. A bounded
+   sample of the rows tells which columns are hot. Their counts are estimated, which changes the order of columns and
+   never a result; so no column's postings meet in one task beyond a small share of the rows.
+2. Column blocks (hash ranges, each of a size that fits one task) count the other columns; a column that only one row
+   holds can't add to an overlap and goes.
+3. Row blocks: each row sorts its columns from rare to frequent. A row of n shingles can reach the threshold only with
+   rows that share one of its first n - ceil(t n) + 1 columns (unshared ones first), so a row whose unshared columns
+   fill that prefix is settled here. Only the product of these prefixes makes candidates.
+4. The overlap of a candidate pair is summed up column block by column block; the pair goes when what it has and all
+   that is left of either row stay below the bound. Candidates are first each row and one pivot per column; then,
+   where a column still holds rows of different groups, the rows outside the column's largest group and those that
+   their size and position leave possible. Rows that a pivot has joined are not compared with each other, so a group
+   of n copies costs about n products and no link between groups is lost. Groups are merged after each round, and
+   later rounds see merged groups only.
 """
 
 from __future__ import annotations
@@ -31,8 +35,11 @@ from .words import chunks, hash_prefix, mix64, span_hash, string_buffers, word_s
 _U = np.uint64
 _SPACE = np.ones(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = False
-#: A column held by this share of a task's rows is called frequent. Their number is at most shingles per row / share.
-FREQUENT = 1 / 64
+#: Rows of the sample that tells of hot columns, most of them from a task, most shingles of one; a column is hot if at
+#: least HOT_ROWS and a HOT_SHARE of the sample hold it, so there are at most shingles per row / HOT_SHARE of them.
+SAMPLE_ROWS, SAMPLE_OF_TASK, SAMPLE_SHINGLES, HOT_ROWS, HOT_SHARE = 65_536, 128, 100_000, 4, 1 / 4096
+#: Bits of the hash that number the column blocks in which overlaps are summed up.
+BLOCK_BITS = 3
 #: Hashes held before a task emits its blocks: bounds its memory, not its work.
 FLUSH = 1_000_000
 
@@ -64,48 +71,54 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[n
     return out
 
 
-def set_key(s: np.ndarray) -> int:
-    """A 64-bit digest of a shingle set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_digest(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two 64-bit digests of a shingle set; the first, cut to `bits` bits, is its key while that tells sets apart."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    key = int.from_bytes(d[:8], "little", signed=True)
+    return (key if bits == 64 else key & ((1 << bits) - 1)), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _scan(words: int, texts: str):
-    def run(batches):
-        held: list[np.ndarray] = []
-        keys: set[int] = set()
-        size = 0
+def _renamed(key: int, check: int) -> int:
+    """The key of a set whose first digest another set has too."""
+    return int.from_bytes(hashlib.blake2b(f"{key},{check}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+_SCANNED = "doc_id long, n_shingles long, key long, check long, column long, held long"
+
+
+def _scan(words: int, texts: str, sample: int, bits: int):
+    """A row for each text; then the columns of the task's sample with their counts, and (n_shingles -1) its size. The
+    sample is of the rows with the least keys."""
 
-        def frequent():
-            if not held:
-                return [], []
-            h = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            n = np.diff(np.append(at, len(h)))
-            many = n >= max(3, int(len(keys) * FREQUENT / 2))
-            return h[at[many]].view(np.int64), n[many].astype(np.int64)
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        worst = -1
 
-        def rows(doc, n, key, has, h=None, c=None):
-            return pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(key, pa.int64(), mask=~np.asarray(has, bool)), pa.array(h if h is not None else [None] * len(n), pa.int64()), pa.array(c if c is not None else [None] * len(n), pa.int64())], ["doc_id", "n_shingles", "key", "column", "held"])
+        def rows(doc, n, key, check, has, column, count):
+            mask = ~np.asarray(has, bool)
+            return pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(key, pa.int64(), mask=mask), pa.array(check, pa.int64(), mask=mask), column, count], ["doc_id", "n_shingles", "key", "check", "column", "held"])
 
-        def blank(h, c):
-            z = np.zeros(len(h), dtype=np.int64)
-            return rows(pa.nulls(len(h), pa.int64()), z, z, z > 0, h, c)
+        def others(n, column, count):
+            z, none = np.zeros(len(n), dtype=np.int64), pa.nulls(len(n), pa.int64())
+            return rows(none, n, z, z, z > 0, none if column is None else pa.array(column, pa.int64()), pa.array(count, pa.int64()))
 
         for b in batches:
             sets = shingle_sets(*string_buffers(b.column(texts)), words)
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            key = np.array([set_key(s) for s in sets], dtype=np.int64)
-            yield rows(b.column("doc_id").cast(pa.int64()), n, key, n > 0, c=b.column("digest"))
-            for k, s in zip(key.tolist(), sets):
-                if len(s) and k not in keys:
-                    keys.add(k)
-                    held.append(s)
-                    size += len(s)
-            if size >= FLUSH:
-                yield blank(*frequent())
-                held, keys, size = [], set(), 0
+            key, check = (np.array(x, dtype=np.int64) for x in zip(*(set_digest(s, bits) for s in sets))) if sets else (n, n)
+            yield rows(b.column("doc_id").cast(pa.int64()), n, key, check, n > 0, pa.nulls(len(n), pa.int64()), b.column("digest").cast(pa.int64()))
+            for k, s in zip(key.view(_U).tolist(), sets):
+                if 0 < len(s) <= SAMPLE_SHINGLES and k not in held and (len(held) < sample or k < worst):
+                    held[k] = s
+                    if len(held) > sample:
+                        del held[worst]
+                    worst = max(held)
         if held:
-            yield blank(*frequent())
+            column, count = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            for i in range(0, len(column), 50_000):
+                part = slice(i, i + 50_000)
+                yield others(np.zeros(len(column[part]), np.int64), column[part].view(np.int64), count[part])
+            yield others(np.array([-1]), None, np.array([len(held)]))
 
     return trimmed(run)
 
@@ -140,12 +153,13 @@ def _open_by_row(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(body, _U, n, 8), np.frombuffer(body, _U, n, 8 + 8 * n), np.frombuffer(body, np.uint32, n, 8 + 16 * n)
 
 
-def _postings(words: int, texts: str, frequent, n_cols: int, n_rows: int):
-    """Blocks by column (kind 0: columns that aren't frequent) and by row (kind 1: frequent columns, and under count 0
-    the size of each row)."""
+def _postings(words: int, texts: str, shared, n_cols: int, n_rows: int, bits: int):
+    """Blocks by column (kind 0: columns that aren't hot) and by row (kind 1: hot columns with their estimated counts,
+    and under count 0 the size of each row). `shared` has the hot columns in ascending order, their counts, and new
+    keys by the digests of sets whose key is taken."""
 
     def run(batches):
-        hot = np.sort(np.asarray(frequent.value, dtype=np.int64).view(_U))
+        hot, estimate, renames = shared.value
         held: list[np.ndarray] = []
         keys: list[int] = []
         seen: set[int] = set()
@@ -157,7 +171,7 @@ def _postings(words: int, texts: str, frequent, n_cols: int, n_rows: int):
             h, d = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint32), counts)
             place = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
             is_hot = hot[place] == h if len(hot) else np.zeros(len(h), bool)
-            blocks, bodies = _by_row(np.concatenate((key, key[d[is_hot]])), np.concatenate((counts.astype(_U), h[is_hot])), np.concatenate((np.zeros(len(key)), np.full(int(is_hot.sum()), 0xFFFFFFFF))), n_rows)
+            blocks, bodies = _by_row(np.concatenate((key, key[d[is_hot]])), np.concatenate((counts.astype(_U), h[is_hot])), np.concatenate((np.zeros(len(key), np.uint32), estimate[place[is_hot]] if len(hot) else estimate)), n_rows)
             yield _block_rows([b % n_cols for b in blocks], [1 + b for b in blocks], bodies)
             h, d = h[~is_hot], d[~is_hot]
             to = _bucket(h, n_cols)
@@ -178,7 +192,8 @@ def _postings(words: int, texts: str, frequent, n_cols: int, n_rows: int):
             for s in shingle_sets(*string_buffers(b.column(texts)), words):
                 if not len(s):
                     continue
-                k = set_key(s)
+                both = set_digest(s, bits)
+                k = renames.get(both, both[0])
                 if k in seen:
                     continue
                 seen.add(k)
@@ -238,8 +253,12 @@ def _count_columns(n_rows: int):
     return trimmed(run)
 
 
+_ROWS = "key long, n long, alone long, prefix array<long>, blocks array<array<long>>"
+
+
 def _rows(percent: int):
-    """A block of rows: the columns of each from rare to frequent, and how many of them belong to its prefix."""
+    """A block of rows: for each row that its unshared columns don't settle its size, how many of its columns no other row
+    has, its prefix from rare to frequent, and its shared columns by column block."""
 
     def run(batches):
         k, h, df = [], [], []
@@ -256,30 +275,71 @@ def _rows(percent: int):
         fresh[1:] = (k[1:] != k[:-1]) | (df[1:] != df[:-1]) | (h[1:] != h[:-1])
         k, h, df = k[fresh], h[fresh], df[fresh]
         at = np.append(np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))), len(k))
-        keys, sizes, prefix, lists = [], [], [], []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            n = int(h[a])  # count 0 sorts first: the size of the row
-            shared = b - a - 1
-            most = n - (percent * n + 99) // 100 + 1 - (n - shared)
-            if most > 0:
-                keys.append(int(k[a : a + 1].view(np.int64)[0]))
-                sizes.append(n)
-                prefix.append(min(most, shared))
-                lists.append(h[a + 1 : b].view(np.int64))
-        for i in range(0, len(keys), 2000):
-            part = lists[i : i + 2000]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in part]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2000], pa.int64()), pa.array(sizes[i : i + 2000], pa.int64()), pa.array(prefix[i : i + 2000], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part), pa.int64()))], ["key", "n", "prefix", "columns"])
+        n, shared = h[at[:-1]].astype(np.int64), np.diff(at) - 1  # count 0 sorts first: the size of the row
+        most = n - (percent * n + 99) // 100 + 1 - (n - shared)
+        for part in np.array_split(np.flatnonzero(most > 0), max(1, -(-int((most > 0).sum()) // 2000))):
+            if not len(part):
+                continue
+            lists = [h[at[i] + 1 : at[i + 1]] for i in part.tolist()]
+            prefix = np.minimum(most[part], shared[part])
+            columns, row = np.concatenate(lists), np.repeat(np.arange(len(part)), shared[part])
+            cell = row * (1 << BLOCK_BITS) + (columns >> _U(64 - BLOCK_BITS)).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(cell, minlength=len(part) << BLOCK_BITS)))).astype(np.int32)
+            inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(columns[np.argsort(cell, kind="stable")].view(np.int64)))
+            heads = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))).astype(np.int32)), pa.array(np.concatenate([x[:m] for x, m in zip(lists, prefix.tolist())]).view(np.int64)))
+            blocks = pa.ListArray.from_arrays(pa.array((np.arange(len(part) + 1) << BLOCK_BITS).astype(np.int32)), inner)
+            yield pa.RecordBatch.from_arrays([pa.array(k[at[part]].view(np.int64)), pa.array(n[part]), pa.array((n - shared)[part]), heads, blocks], ["key", "n", "alone", "prefix", "blocks"])
 
     return trimmed(run)
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that reach the threshold, by the exact overlap of their shared columns."""
-    x = rows.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("columns").alias("ca"))
-    y = rows.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("columns").alias("cb"))
-    both = F.size(F.array_intersect("ca", "cb")).cast("long")
-    return pairs.join(x, "a").join(y, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    """Of pairs (a, b, and more) those that reach the threshold. The overlap is summed up block by block, and no further
+    once it can't reach the bound with all that is left of either row."""
+    x = rows.select(F.col("key").alias("a"), F.col("n").alias("na"), (F.col("n") - F.col("alone")).alias("sa"), F.col("blocks").alias("ba"))
+    y = rows.select(F.col("key").alias("b"), F.col("n").alias("nb"), (F.col("n") - F.col("alone")).alias("sb"), F.col("blocks").alias("bb"))
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    state = lambda o, a, b: F.struct(o.cast("long").alias("o"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+
+    def add(s, block):
+        more = state(s.o + F.size(F.array_intersect(block.ba, block.bb)), s.a - F.size(block.ba), s.b - F.size(block.bb))
+        return F.when(s.o + F.least(s.a, s.b) < need, s).otherwise(more)
+
+    overlap = F.aggregate(F.arrays_zip("ba", "bb"), state(F.lit(0), F.col("sa"), F.col("sb")), add, lambda s: s.o)
+    both = pairs.join(x, "a").join(y, "b").withColumn("both", overlap)
+    return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select(pairs.columns)
+
+
+def _mixed(open_: DataFrame) -> DataFrame:
+    """(col, major): columns that rows of different groups hold, with the group of most rows."""
+    sizes = open_.groupBy("col", "label").agg(F.count("*").alias("size"))
+    return sizes.groupBy("col").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("groups")).where("groups > 1").select("col", F.col("m.label").alias("major"))
+
+
+def _with_pivots(open_: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of each row and the pivot of each of its columns, if they are of different groups. Rows with few columns of
+    their own lie in the middle of their group and are pivots first; later rounds try others. The pivots are written
+    apart, so that the join on a hot column is not tied to the aggregate's partitions and can be split."""
+    rank = F.col("alone") / F.col("n") if turn == 0 else F.xxhash64("key", F.lit(turn))
+    best = open_.groupBy("col").agg(F.min(F.struct(rank.alias("r"), "key", "n", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    pivot = materialize(best.select("col", F.col("p.key").alias("key2"), F.col("p.n").alias("n2"), F.col("p.label").alias("label2")), "ngram-pivots")
+    alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    return open_.join(pivot, "col").where((F.col("label") != F.col("label2")) & alike)
+
+
+def _across_groups(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of different groups that share a column. Those outside the column's largest group look for partners
+    in classes of size; the largest size that a partner can have follows from what is left of the row after the
+    column, so that rows which only share a common passage meet no others of their size."""
+    class_of = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) * 4).cast("int")
+    room = F.col("n") - F.col("pos")
+    rows = open_.withColumn("reach", F.floor(room * (100 + percent) / percent) - F.col("n"))
+    least, most = F.ceil(percent * F.col("n") / 100), F.least(F.floor(100 * F.col("n") / percent), F.col("reach"))
+    minor = rows.where(F.col("label") != F.col("major")).withColumn("least", least).withColumn("most", most).where("most >= least")
+    probe = minor.withColumn("class", F.explode(F.sequence(class_of(F.col("least")), class_of(F.col("most")))))
+    other = rows.select("col", class_of(F.col("n")).alias("class"), F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("reach").alias("reach2"))
+    fits = (F.col("n2") >= F.col("least")) & (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("reach2"))
+    return probe.join(other, ["col", "class"]).where((F.col("label") != F.col("label2")) & fits)
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text", star_rounds: int = 2) -> DataFrame:
@@ -290,60 +350,68 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str
     100 * intersection >= percent * union of their distinct shingles. Null, empty and blank texts: n_shingles 0, a
     group of their own. Repeated rows are returned as often as they come and share a group. A null doc_id stays null
     and is nobody's component_id unless all of its group are null. No rows: an empty table. Other columns are not
-    read. Shingles and sets are identified by 64-bit hashes."""
+    read. Shingles are identified by 64-bit hashes, sets by 128 bits."""
     return _groups(docs, words, percent, text, star_rounds).select("doc_id", "n_shingles", "component_id")
 
 
-def _groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text", star_rounds: int = 2) -> DataFrame:
+def _groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "text", star_rounds: int = 2, key_bits: int = 64) -> DataFrame:
     """What jaccard_groups() returns, with a digest of the row's text and the label of its group (null: no words)."""
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scanned = materialize(src.withColumn("digest", F.xxhash64("text")).mapInArrow(_scan(words, "text"), "doc_id long, n_shingles long, key long, column long, held long"), "ngram-scan")
-    per_doc = scanned.where("column is null").select("doc_id", "n_shingles", "key", F.col("held").alias("digest"))
-    n_docs = per_doc.count()
-    most = max(3, int(n_docs * FREQUENT))
-    frequent = [r[0] for r in scanned.where("column is not null").groupBy("column").agg(F.sum("held").alias("held")).where(F.col("held") >= most).select("column").toLocalIterator()]
-    shared = spark.sparkContext.broadcast(np.array(frequent, dtype=np.int64))
+    sample = max(1, min(SAMPLE_OF_TASK, -(-SAMPLE_ROWS // max(1, src.rdd.getNumPartitions()))))
+    scanned = materialize(src.withColumn("digest", F.xxhash64("text")).mapInArrow(_scan(words, "text", sample, key_bits), _SCANNED), "ngram-scan")
+    per_doc = scanned.where("column is null and n_shingles >= 0").select("doc_id", "n_shingles", "key", "check", F.col("held").alias("digest"))
+    sets = materialize(per_doc.where("key is not null").groupBy("key", "check").agg(F.min("doc_id").alias("least")), "ngram-sets")
+
+    # Sets whose key another set has: about n^2 / 2^65 of n sets.
+    taken = sets.groupBy("key").agg(F.min("check").alias("first"), F.count("*").alias("sets")).where("sets > 1")
+    renames = {(r["key"], r["check"]): _renamed(r["key"], r["check"]) for r in sets.join(taken, "key").where("check <> first").select("key", "check").toLocalIterator()}
+    if renames:
+        named = spark.createDataFrame([(k, c, new) for (k, c), new in renames.items()], "key long, check long, new long")
+        rename = lambda d: d.join(F.broadcast(named), ["key", "check"], "left").withColumn("key", F.coalesce("new", "key")).drop("new")
+        per_doc, sets = rename(per_doc), rename(sets)
+
+    sampled = scanned.where("n_shingles = -1").agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    found = scanned.where("column is not null").groupBy("column").agg(F.sum("held").alias("held")).where(F.col("held") >= max(HOT_ROWS, int(sampled * HOT_SHARE))).toArrow()
+    hot, held = found.column("column").to_numpy().view(_U), found.column("held").to_numpy()
+    order = np.argsort(hot)
+    estimate = np.clip(held[order] * (sets.count() / max(sampled, 1)), 2, (1 << 32) - 1).astype(np.uint32)
+    shared = spark.sparkContext.broadcast((hot[order], estimate, renames))
     n_blocks = partitions_for(src, 1.5)
-    blocks = src.select("text").mapInArrow(_postings(words, "text", shared, n_blocks, n_blocks), "to int, kind int, body binary")
+    blocks = src.select("text").mapInArrow(_postings(words, "text", shared, n_blocks, n_blocks, key_bits), "to int, kind int, body binary")
     counted = blocks.repartition(n_blocks, "to").mapInArrow(_count_columns(n_blocks), "to int, kind int, body binary")
-    rows = materialize(counted.repartition(n_blocks, "to").mapInArrow(_rows(percent), "key long, n long, prefix int, columns array<long>"), "ngram-rows")
+    rows = materialize(counted.repartition(n_blocks, "to").mapInArrow(_rows(percent), _ROWS), "ngram-rows")
     del blocks, counted
     forget_shuffles(spark)
-    postings = materialize(rows.select("key", "n", (F.col("n") - F.size("columns")).alias("alone"), F.posexplode(F.slice("columns", F.lit(1), F.col("prefix"))).alias("pos", "col")).select("col", "key", "n", "alone", (F.col("alone") + F.col("pos")).cast("int").alias("pos")), "ngram-postings")
+    placed = rows.select("key", "n", "alone", F.posexplode("prefix").alias("pos", "col"))
+    open_ = materialize(placed.select("col", "key", "n", "alone", (F.col("alone") + F.col("pos")).cast("int").alias("pos"), F.col("key").alias("label")), "ngram-postings")
 
-    alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    need = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
-    room = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-    labels = links = None
+    moves = []
     for turn in range(star_rounds + 1):
-        named = postings.withColumn("label", F.col("key")) if labels is None else postings.join(labels, postings.key == labels.node, "left").select("col", "key", "n", "pos", "alone", F.coalesce("label", "key").alias("label"))
-        open_ = named
-        if labels is not None:
-            mixed = named.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("col")
-            open_ = named.join(mixed, "col")
+        near = _with_pivots(open_, turn, percent) if turn < star_rounds else _across_groups(open_.join(_mixed(open_), "col"), percent)
+        swap = F.col("key") > F.col("key2")
+        of = lambda one, two: F.when(swap, F.col(two)).otherwise(F.col(one))  # noqa: E731, B023
+        pairs = near.select(of("key", "key2").alias("a"), of("key2", "key").alias("b"), of("label", "label2").alias("la"), of("label2", "label").alias("lb")).distinct()
+        links = _linked(pairs, rows, percent).select("la", "lb").distinct()
+        step = connected_components(links, "la", "lb")
+        moves.append(step)
         if turn < star_rounds:
-            # Rows with few columns of their own lie in the middle of their group; later rounds try others.
-            rank = F.col("alone") / F.col("n") if turn == 0 else F.xxhash64("key", F.lit(turn))
-            pivot = open_.groupBy("col").agg(F.min(F.struct(rank.alias("r"), "key", "n", "label")).alias("p")).select("col", F.col("p.key").alias("key2"), F.col("p.n").alias("n2"), F.col("p.label").alias("label2"))
-            pairs = open_.join(pivot, "col").where((F.col("label") != F.col("label2")) & alike)
-        else:
-            other = open_.select("col", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("pos").alias("pos2"))
-            pairs = open_.join(other, "col").where((F.col("label") < F.col("label2")) & alike & (room >= need))
-        pairs = pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
-        found = materialize(_linked(pairs, rows, percent), "ngram-links")
-        links = found if links is None else links.union(found)
-        labels = connected_components(links)
+            to = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            merged = materialize(open_.join(to, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "ngram-merged")
+            open_ = merged.join(merged.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("col"), "col")
+            open_ = materialize(open_, "ngram-open")
 
     forget_shuffles(spark)
-    keyed = per_doc.where("key is not null")
-    own = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = own.join(labels, own.key == labels.node, "left").select("key", "least", F.coalesce("label", "key").alias("label"))
+    named = sets.select("key", "least", F.col("key").alias("label"))
+    for step in moves:
+        to = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        named = named.join(to, "label", "left").select("key", "least", F.coalesce("to", "label").alias("label"))
+    named = materialize(named, "ngram-labels")
     # Written apart, so that the join on a hot label is not tied to the aggregate's partitions and can be split.
     groups = materialize(named.groupBy("label").agg(F.min("least").alias("component_id")), "ngram-groups")
     by_key = named.join(groups, "label").select("key", "component_id", "label")
     blank = per_doc.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest", F.lit(None).cast("long").alias("label"))
-    return keyed.join(by_key, "key").select("doc_id", "n_shingles", "component_id", "digest", "label").unionByName(blank)
+    return per_doc.where("key is not null").join(by_key, "key").select("doc_id", "n_shingles", "component_id", "digest", "label").unionByName(blank)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,14 @@
+import random
 import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 
+from tarnbrook.llm import ngram_join
 from tarnbrook.llm.graph import connected_components
 from tarnbrook.llm.ngram_join import jaccard_groups, keep_one_of_each
+from tarnbrook.llm.queries import op2_ngram_jaccard_join
 from tests.llm.util import clashing, documents, empty, rows
 
 
@@ -13,7 +17,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else ({tuple(words)} if words else set())
 
 
-def brute(docs):
+def brute(docs, percent=75):
     sets = [(d, shingles(t)) for d, t in docs]
     up = list(range(len(sets)))
 
@@ -24,7 +28,7 @@ def brute(docs):
 
     for i, j in combinations(range(len(sets)), 2):
         a, b = sets[i][1], sets[j][1]
-        if a and b and 100 * len(a & b) >= 75 * len(a | b):
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
             up[top(i)] = top(j)
     out = []
     for i, (d, s) in enumerate(sets):
@@ -40,6 +44,42 @@ def test_groups_equal_brute_force(spark):
     assert rows(jaccard_groups(clashing(docs)), "doc_id", "n_shingles", "component_id") == expected
 
 
+def test_sets_of_one_key_are_told_apart(spark):
+    docs = documents(spark)
+    expected = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert rows(ngram_join._groups(docs, key_bits=3), "doc_id", "n_shingles", "component_id") == expected
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_rounds_change_nothing(spark, rounds):
+    docs = documents(spark)
+    expected = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert rows(jaccard_groups(docs, star_rounds=rounds), "doc_id", "n_shingles", "component_id") == expected
+
+
+@pytest.mark.parametrize("seed, percent", [(0, 75), (1, 75), (2, 50), (3, 90), (4, 75), (5, 60)])
+def test_random_texts_that_share_passages(spark, seed, percent):
+    """Rows made of common passages in all proportions, so that pairs lie on both sides of every bound."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}w{i}" for i in range(rng.randint(8, 40))] for k in range(6)]
+    texts = []
+    for _ in range(150):
+        t = [w for k in rng.sample(range(6), rng.randint(1, 3)) for w in passages[k]]
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(30)}"
+        texts.append(" ".join(t[rng.randint(0, 3) :] + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 5, 12]))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for turns in (0, 2):
+        assert rows(jaccard_groups(docs, percent=percent, star_rounds=turns), "doc_id", "n_shingles", "component_id") == brute(list(enumerate(texts)), percent)
+
+
+def test_op2_query(spark):
+    got = op2_ngram_jaccard_join(spark, "/root/testdata/sf0.001")
+    assert got.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint")]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert rows(got, *got.columns) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_threshold_is_exact(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [words[i : i + 25] for i in range(0, 12)]  # 21 shingles each; a shift of 3 shares 18 of 24
