@@ -4,13 +4,17 @@ The longest common turn prefix of a chosen and a rejected conversation becomes t
 turns after it become the two completions, with a loss range over the assistant's words. The result has a row for
 each rendered turn, because a conversation has no bound: turns are aligned by their number in one aggregate by
 (pair, turn), which combines before its shuffle, and the end of the prefix is a minimum by pair, so no task ever
-holds a whole conversation. `assemble()` makes one row for each pair where conversations are known to be short."""
+holds a whole conversation. What is found by conversation or pair, a row each, is written before turns are joined
+with it: the join is then not tied to an aggregate's partitions, and a conversation with a large share of all turns can
+be split. `assemble()` makes one row for each pair where conversations are known to be short."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: The marks around a rendered turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -27,7 +31,7 @@ def swapped_replies(conversations: DataFrame) -> DataFrame:
     turns = _turns(conversations).where("conv_id is not null and turn is not null")
     replies = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("reply")).select("conv_id", F.col("reply.turn").alias("at"), F.col("reply.text").alias("said"))
     other = replies.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.col("said").alias("instead"))
-    swap = replies.join(other, "conv_id").select("conv_id", "at", "instead")
+    swap = materialize(replies.join(other, "conv_id").select("conv_id", "at", "instead"), "chat-swaps")
     chosen = turns.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
     before = turns.join(swap, "conv_id").where("turn < at").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
     reply = swap.select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), F.col("at").alias("turn"), F.lit("assistant").alias("role"), F.col("instead").alias("text"))
@@ -46,6 +50,7 @@ def format_preferences(sides: DataFrame) -> DataFrame:
     cell = F.struct(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     cells = sides.where("pair_id is not null and turn is not null and side in ('chosen', 'rejected')").groupBy("pair_id", "turn").agg(F.min(F.when(F.col("side") == "chosen", cell)).alias("chosen"), F.min(F.when(F.col("side") == "rejected", cell)).alias("rejected"))
     ends = cells.where(~F.col("chosen").eqNullSafe(F.col("rejected"))).groupBy("pair_id").agg(F.min("turn").alias("end"))
+    ends = materialize(ends, "chat-ends")
     shared = F.col("end").isNull() | (F.col("turn") < F.col("end"))
     one = lambda part, of: F.struct(F.lit(part).alias("part"), F.col(of).alias("cell"))
     parts = F.when(shared, F.array(one("prompt", "chosen"))).otherwise(F.array(one("chosen", "chosen"), one("rejected", "rejected")))

@@ -253,3 +253,28 @@ def test_trees_prune():
     pairs = cover_tree.dual_search(few, np.arange(20) + 10**6, tree, np.arange(10_000), found)
     assert (np.sort(data[::500] @ data.T, axis=1)[:, -5:][:, ::-1] == pytest.approx(found.scores))
     assert pairs < 0.5 * sum(not c for c in tree.children) * sum(not c for c in few.children)
+
+
+def test_op4_query(spark):
+    got = queries.op4_decontaminate(spark, DATA)
+    assert got.dtypes == [("doc_id", "bigint"), ("item_id", "bigint"), ("distance", "int"), ("first_word", "int"), ("end_word", "int")]
+    docs = {r.doc_id: decontaminate.words_of(r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    expected = set()
+    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
+        own = decontaminate.words_of(r.text)
+        bits = {w: sum(1 << i for i, x in enumerate(own) if x == w) for w in own}
+        for d, words in docs.items():
+            if own and (n := decontaminate.myers(bits, len(own), words)[0]) <= int(0.2 * len(own)):
+                expected.add((d, r.item_id, n))
+    found = got.collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == expected and len(found) == len(expected) > 0
+    items = {r.item_id: decontaminate.words_of(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    assert all(distance(items[r.item_id], docs[r.doc_id][r.first_word : r.end_word]) == r.distance for r in found)
+
+
+def test_op8_query(spark):
+    got = queries.op8_html_text(spark, DATA)
+    assert got.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+    pages = {r.page_id: (r.url, html_text.extract(r.html)) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    assert {r.page_id: (r.url, r.text) for r in got.collect()} == pages
+    assert all(r.n_chars == len(r.text) > 0 for r in got.collect())
