@@ -467,3 +467,41 @@ def json_text_round_trip(spark, d):
     path = f"file://{os.path.abspath(_root(spark))}/lines"
     write_records(customers(spark, d).unionByName(orders(spark, d)), path)
     return read_records(spark, path).where("error is null").select("id", "hash", "data_json")
+
+
+# -- streams -------------------------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, d) -> DataFrame:
+    """The events as a stream of files; the pattern lets the table be a file or a folder."""
+    return spark.readStream.schema(_read(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+
+
+@query("select cast(user_id as varchar) as id, arg_max(sha256(props), event_id) as hash, arg_max(props, event_id) as data_json from events group by user_id")
+def streaming_ingest(spark, d):
+    """Events posted to a store by a stream, a version for each micro-batch; then the stream runs again and adds nothing."""
+    from ..streaming.ingest import ingest
+
+    root = _root(spark)
+    store = DocumentStore.init(spark, "stream", root)
+    posts = _event_stream(spark, d).select(F.col("user_id").cast("string").alias("id"), F.sha2("props", 256).alias("hash"), F.col("props").alias("data_json"), F.col("event_id").alias("seq"))
+    for _ in range(2):
+        ingest(posts, store, f"file://{os.path.abspath(root)}/checkpoint").awaitTermination()
+    return store.get()
+
+
+@query("select time_bucket(interval 5 minutes, ts) as begins, event_type as op, count(*) as entries from events group by 1, 2")
+def streaming_change_counts(spark, d):
+    """Entries of each kind in tumbling windows of a stream of events, with a watermark."""
+    from ..streaming.ingest import change_counts
+
+    path = f"file://{os.path.abspath(_root(spark))}"
+    counts = change_counts(_event_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("op")))
+    written = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("window.start").cast("timestamp_ntz").alias("begins"), "op", "entries").write.mode("overwrite").parquet(f"{path}/counts-{number}")
+        written.append(number)
+
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("begins timestamp_ntz, op string, entries long").parquet(f"{path}/counts-{max(written)}")
