@@ -377,12 +377,12 @@ def _content(page: Page) -> tuple[list[bool], list[bool]]:
                 keep[i] = own_kept[p]
             else:
                 keep[i] = m.density[i] >= least > 0 or in_article and 2 * m.link_chars[i] < m.chars[i]
-        if tag[i] == "h1" and not m.out[i]:
+        if (tag[i] == "h1" or in_article and tag[i] == "h2") and not m.out[i]:
             has_title = has_title or keep[i]
-            title = i if i < best else title
+            title = i if i < best and tag[i] == "h1" else title
         if m.mark[i] == 2:
             keep[i] = False
-    if title and not has_title:  # the title that stands before the content
+    if title and not has_title:  # the title that stands before the content; an article may have its own in an h2
         keep[title] = True
         for i in range(title + 1, n):
             keep[i] = keep[i] or keep[parent[i]] and m.mark[i] < 2

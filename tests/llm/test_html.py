@@ -103,6 +103,8 @@ def test_text_between_blocks_and_titles():
     long = "Words of a text that stands right in the body, with no element of its own. " * 9
     assert html_text.extract(f"<body>{long}<b>bold</b> end<br>{long}<div>x</div></body>") == " ".join(f"{long}bold end {long}".split()) + "\nx"
     assert html_text.extract(f"<body><div><h1>My site</h1></div><div><h1>T</h1></div><div>{''.join(P)}</div></body>") == "T\n" + TEXT
+    assert html_text.extract(f"<body><h1>My site</h1><article><h2>T</h2>{''.join(P)}</article></body>") == "T\n" + TEXT
+    assert html_text.extract(f"<main><h1>T</h1><article>{''.join(P)}</article></main>") == "T\n" + TEXT
 
 
 @pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "x", '<a "' * 250_000, "<a x='>" * 150_001 + '"<b>', "<p><object>" + "<div>" * 100_000, "<article>" * 100_000, "<svg>" * 200_000, "<b>" * 100_000 + "</i>" * 100_000])
