@@ -143,8 +143,19 @@ def test_best_fit_takes_the_tightest_and_closes_the_fullest():
 def test_codes_round_trip(n):
     rng = np.random.default_rng(n)
     x = (rng.integers(0, 1 << 32, n, dtype=np.uint64) >> rng.integers(0, 32, n, dtype=np.uint64)).astype("<u4")
-    control, data = token_io.encode_ranks(x)
-    assert token_io.decode_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n).tolist() == x.tolist()
+    sizes = np.diff(np.unique(np.concatenate(([0, n], rng.integers(0, n + 1, 5)))), prepend=0)
+    sizes = np.concatenate((sizes[:1], [0], sizes[1:], [0]))
+    control, control_ends, data, data_ends = token_io.encode_documents(x, sizes)
+    assert token_io.decode_documents(control, data, sizes).tolist() == x.tolist()
+    first = np.cumsum(sizes) - sizes
+    for i, k in enumerate(sizes.tolist()):  # each document by itself, in plain Python
+        own, c, d = x[first[i] : first[i] + k].tolist(), bytearray(-(-k // 4)), b""
+        for j, v in enumerate(own):
+            size = max(1, -(-v.bit_length() // 8))
+            c[j // 4] |= (size - 1) << 2 * (j % 4)
+            d += v.to_bytes(size, "little")
+        lo = [0, *control_ends.tolist()][i], [0, *data_ends.tolist()][i]
+        assert (bytes(control[lo[0] : control_ends[i]]), bytes(data[lo[1] : data_ends[i]])) == (bytes(c), d)
 
 
 @pytest.mark.parametrize("change", [lambda d: d, clashing])
@@ -187,13 +198,32 @@ def test_op1_query(spark):
 
 
 def test_damage_is_noticed(tmp_path):
+    id_of = np.array([9, 5], "<u4")
+    sizes = [3, 0]
+    control, _, data, _ = token_io.encode_documents(np.array([1, 1, 0]), np.array(sizes))
     with open(tmp_path / "x", "wb") as f:
-        token_io.write_shard(f, [1, None], [np.array([5, 5, 9], "<u4").tobytes(), b""])
+        token_io.write_shard(f, [1, None], sizes, [control.tobytes(), b""], [data.tobytes(), b""], zlib.crc32(id_of.tobytes()))
     body = (tmp_path / "x").read_bytes()
-    ids, lengths, all_ids = token_io.read_shard(body)
+    ids, lengths, all_ids = token_io.read_shard(body, id_of)
     assert (ids, lengths.tolist(), all_ids.tolist()) == ([1, None], [3, 0], [5, 5, 9])
+    for bad, ranking in ((body[:-6] + b"\xff" + body[-5:], id_of), (body, id_of[::-1])):
+        with pytest.raises(ValueError):
+            token_io.read_shard(bad, ranking)
+    ranking = token_io.ranking_body(id_of)
+    assert token_io.read_ranking(ranking).tolist() == [9, 5]
     with pytest.raises(ValueError):
-        token_io.read_shard(body[:-6] + b"\xff" + body[-5:])
+        token_io.read_ranking(ranking[:-1] + b"\x00")
+
+
+def test_the_ranking_counts_all_documents(spark, tmp_path):
+    docs = documents(spark)
+    token_io.write_ids(docs.repartition(6), f"file://{tmp_path}/ids")
+    counts = {}
+    for r in docs.collect():
+        for x in [*by_library(r.text), 0]:
+            counts[x] = counts.get(x, 0) + 1
+    got = token_io.read_ranking((tmp_path / "ids" / token_io.RANKING_FILE).read_bytes()).tolist()
+    assert got == sorted(counts, key=lambda x: (-counts[x], x))
 
 
 def test_query_digest(spark):
