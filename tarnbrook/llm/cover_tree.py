@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from . import storage
 from .common import materialize, new_path, trimmed
 
-#: Centres of a split; points of a leaf; queries of a file; vectors of a tree.
-FAN, LEAF, QUERY_BLOCK, DATA_BLOCK = 12, 96, 8192, 131_072
+#: Centres of a split; points and queries of a leaf; queries of a file; vectors of a tree.
+FAN, LEAF, QUERY_LEAF, QUERY_BLOCK, DATA_BLOCK = 12, 512, 128, 8192, 131_072
+#: A node whose leaves have radii of more than this share of its own on average stays a leaf: its parts are no smaller
+#: balls, so pruning among them would not pay. Scores of a pair of leaves that are held at a time.
+FLAT, CELLS = 0.75, 2_000_000
 _STEPS, _NO_ID = 1 << 30, np.iinfo(np.int64).max
 
 
@@ -71,6 +74,12 @@ class CoverTree:
             for k, c in enumerate(centres):
                 if cuts[k + 1] > cuts[k]:
                     todo.append((a + int(cuts[k]), a + int(cuts[k + 1]), node, c))
+        below = [0.0] * len(self.centre)  # radii of the leaves under each node, by their points
+        for node in reversed(range(len(self.centre))):
+            size = self.range[node][1] - self.range[node][0]
+            below[node] = sum(below[c] for c in self.children[node])
+            if not self.children[node] or below[node] > FLAT * self.radius[node] * size:
+                self.children[node], below[node] = [], self.radius[node] * size
         self.order = order
         self.sorted = points[order]
         self.centres = np.array(self.centre) if self.centre else np.zeros((0, points.shape[1] if points.ndim == 2 else 0))
@@ -88,19 +97,22 @@ class TopK:
         self.ids = np.full((queries, k), _NO_ID)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        some = (scores >= self.scores[rows, -1:]).any(axis=1)
-        if not some.any():
+        least = self.scores[rows, -1]
+        r, c = np.nonzero(scores >= least[:, None])
+        if len(r) > 4 * self.k * len(rows) and scores.shape[1] > self.k:  # only the k best new ones of a row, with all ties of the last
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            r, c = np.nonzero(scores >= least[:, None])
+        if not len(r):
             return
-        rows, scores = rows[some], scores[some]
-        if scores.shape[1] > self.k:  # the k best of the new ones by score, with all ties of the last
-            last = np.partition(scores, -self.k, axis=1)[:, -self.k]
-            keep = (scores >= last[:, None]).any(axis=0)
-            scores, ids = scores[:, keep], ids[keep]
-        s = np.concatenate((self.scores[rows], scores), axis=1)
-        i = np.concatenate((self.ids[rows], np.broadcast_to(ids, scores.shape)), axis=1)
-        best = np.lexsort((i, -s))[:, : self.k]
-        self.scores[rows] = np.take_along_axis(s, best, axis=1)
-        self.ids[rows] = np.take_along_axis(i, best, axis=1)
+        some, r = np.unique(r, return_inverse=True)
+        own = rows[some]
+        place = np.concatenate((np.repeat(np.arange(len(own)), self.k), r))
+        s = np.concatenate((self.scores[own].reshape(-1), scores[some[r], c]))
+        i = np.concatenate((self.ids[own].reshape(-1), ids[c]))
+        order = np.lexsort((i, -s, place))
+        first = np.searchsorted(place[order], np.arange(len(own)))
+        best = order[first[:, None] + np.arange(self.k)]  # each row has k at least
+        self.scores[own], self.ids[own] = s[best], i[best]
 
 
 def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, found: TopK) -> int:
@@ -134,10 +146,12 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data
                     heapq.heappush(heap, (-limit, q, c))
         else:
             x, y = data.range[d]
-            own = data_ids[data.order[x:y]]
-            s = queries.sorted[a:b] @ data.sorted[x:y].T
-            s[query_ids[rows][:, None] == own[None, :]] = -np.inf
-            found.offer(rows, s, own)
+            width = max(1, CELLS // (b - a))
+            for at in range(x, y, width):
+                own = data_ids[data.order[at : min(at + width, y)]]
+                s = queries.sorted[a:b] @ data.sorted[at : at + len(own)].T
+                s[query_ids[rows][:, None] == own[None, :]] = -np.inf
+                found.offer(rows, s, own)
             scored += 1
     return scored
 
@@ -176,7 +190,7 @@ def _search(folder: str, k: int, block: int):
                     continue
                 numbers, query_ids = own.column("query").to_numpy(), own.column("vec_id").to_numpy()
                 found = TopK(len(query_ids), k, own.column("bound").to_numpy())
-                dual_search(CoverTree(_of_dimension(own, dim), leaf=32), query_ids, data, ids, found)
+                dual_search(CoverTree(_of_dimension(own, dim), leaf=QUERY_LEAF), query_ids, data, ids, found)
                 q, r = np.nonzero((found.ids < _NO_ID) & (found.scores > -np.inf))
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), pa.array(query_ids[q]), pa.array(found.ids[q, r]), pa.array(found.scores[q, r].astype(np.int64))], ["query", "query_id", "vec_id", "score"])
 
