@@ -311,9 +311,10 @@ def _linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(open_: DataFrame) -> DataFrame:
-    """(col, major): columns that rows of different groups hold, with the group of most rows."""
+    """(col, major): columns that rows of different groups hold, with the group of most rows. Written apart, as pivots are."""
     sizes = open_.groupBy("col", "label").agg(F.count("*").alias("size"))
-    return sizes.groupBy("col").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("groups")).where("groups > 1").select("col", F.col("m.label").alias("major"))
+    both = sizes.groupBy("col").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
+    return materialize(both.select("col", F.col("m.label").alias("major")), "ngram-mixed")
 
 
 def _with_pivots(open_: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -333,7 +334,7 @@ def _across_groups(open_: DataFrame, percent: int) -> DataFrame:
     column, so that rows which only share a common passage meet no others of their size."""
     class_of = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) * 4).cast("int")
     room = F.col("n") - F.col("pos")
-    rows = open_.withColumn("reach", F.floor(room * (100 + percent) / percent) - F.col("n"))
+    rows = (open_ if "major" in open_.columns else open_.join(_mixed(open_), "col")).withColumn("reach", F.floor(room * (100 + percent) / percent) - F.col("n"))
     least, most = F.ceil(percent * F.col("n") / 100), F.least(F.floor(100 * F.col("n") / percent), F.col("reach"))
     minor = rows.where(F.col("label") != F.col("major")).withColumn("least", least).withColumn("most", most).where("most >= least")
     probe = minor.withColumn("class", F.explode(F.sequence(class_of(F.col("least")), class_of(F.col("most")))))
@@ -365,7 +366,7 @@ def _groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "tex
 
     # Sets whose key another set has: about n^2 / 2^65 of n sets.
     taken = sets.groupBy("key").agg(F.min("check").alias("first"), F.count("*").alias("sets")).where("sets > 1")
-    renames = {(r["key"], r["check"]): _renamed(r["key"], r["check"]) for r in sets.join(taken, "key").where("check <> first").select("key", "check").toLocalIterator()}
+    renames = {(r["key"], r["check"]): _renamed(r["key"], r["check"]) for r in sets.join(taken, "key").where("check <> first").select("key", "check").collect()}
     if renames:
         named = spark.createDataFrame([(k, c, new) for (k, c), new in renames.items()], "key long, check long, new long")
         rename = lambda d: d.join(F.broadcast(named), ["key", "check"], "left").withColumn("key", F.coalesce("new", "key")).drop("new")
@@ -388,7 +389,7 @@ def _groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "tex
 
     moves = []
     for turn in range(star_rounds + 1):
-        near = _with_pivots(open_, turn, percent) if turn < star_rounds else _across_groups(open_.join(_mixed(open_), "col"), percent)
+        near = _with_pivots(open_, turn, percent) if turn < star_rounds else _across_groups(open_, percent)
         swap = F.col("key") > F.col("key2")
         of = lambda one, two: F.when(swap, F.col(two)).otherwise(F.col(one))  # noqa: E731, B023
         pairs = near.select(of("key", "key2").alias("a"), of("key2", "key").alias("b"), of("label", "label2").alias("la"), of("label2", "label").alias("lb")).distinct()
@@ -397,9 +398,8 @@ def _groups(docs: DataFrame, words: int = 5, percent: int = 75, text: str = "tex
         moves.append(step)
         if turn < star_rounds:
             to = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
-            merged = materialize(open_.join(to, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "ngram-merged")
-            open_ = merged.join(merged.groupBy("col").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("col"), "col")
-            open_ = materialize(open_, "ngram-open")
+            merged = materialize(open_.drop("major").join(to, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "ngram-merged")
+            open_ = materialize(merged.join(_mixed(merged), "col"), "ngram-open")
 
     forget_shuffles(spark)
     named = sets.select("key", "least", F.col("key").alias("label"))

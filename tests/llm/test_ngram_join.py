@@ -56,7 +56,7 @@ def test_rounds_change_nothing(spark):
     assert rows(jaccard_groups(docs, star_rounds=0), "doc_id", "n_shingles", "component_id") == expected
 
 
-@pytest.mark.parametrize("seed, percent", [(0, 75), (1, 75), (2, 50), (3, 90)])
+@pytest.mark.parametrize("seed, percent", [(0, 75), (1, 75), (2, 50)])
 def test_random_texts_that_share_passages(spark, seed, percent):
     """Rows made of common passages in all proportions, so that pairs lie on both sides of every bound."""
     rng = random.Random(seed)
