@@ -4,8 +4,8 @@ A tolerant parser builds the tree of a page: raw-text elements by their tag, imp
 tree, menus and all, each node gets its composite text density: its characters per tag, scaled by how many of its
 characters and tags are not links. The sum of its children's densities peaks at the node that holds the paragraphs;
 that node is the content. Off the path from body to it, what stands beside it counts as content when its density
-reaches the threshold, the least density on that path. Where an article or main element is around the content, the
-path begins there, and what is not mostly links counts too. Tags and class names only take things away from that: elements that are never article text by
+reaches the threshold, the least density on that path. Where an article or main element, or else a container whose class
+or id says `post` or the like, is around the content, the path begins there, and what is not mostly links counts too. Tags and class names only take things away from that: elements that are never article text by
 their tag (nav, footer), and containers whose whole class or id names a known part of a page (`comments`,
 `related-posts`) are no candidates and go inside and beside the content; a class that merely holds such a word
 (`social-impact`) goes beside the content only, an id that does stays."""
@@ -59,6 +59,8 @@ PARTS = set(
 #: Words that make a class name one of state or genre, not of place; whose header a header is.
 STATES = {"has", "with", "without", "no", "open", "closed", "enabled", "disabled", "commentary", "commentaries"}
 OWN_HEADERS = {"article", "post", "entry", "content", "story", "section"}
+#: Classes, ids and a role that say that an element is an article.
+ARTICLE_NAMES = {"article", "post", "entry", "story", "hentry", "blogpost", "blog-post", "news-article", "article-wrapper", "post-wrapper"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alertdialog", "form", "toolbar"}
 #: Open elements that a start tag ends: (those ended, those that keep them open).
 _LISTS, _TABLE = {"ul", "ol", "menu", "dir"}, {"table"}
@@ -114,6 +116,17 @@ def _marked(value: str, tag: str, is_id: bool, in_article: bool) -> int:
     return found
 
 
+_ARTICLE_NAME = re.compile("article|post|entry|story", re.I)
+
+
+def _is_article(tag: str, attributes: str) -> bool:
+    """Whether an element that is no article element says that it is an article."""
+    if tag not in CONTAINERS or not attributes or not _ARTICLE_NAME.search(attributes):
+        return False
+    values = ((m[1].lower(), (m[2] or "").strip("\"'").lower()) for m in _ATTRIBUTE.finditer(attributes))
+    return any(name in ("class", "id", "role") and not ARTICLE_NAMES.isdisjoint(value.split()) for name, value in values)
+
+
 def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
     """2: never article text; 1: none outside the content."""
     if tag in NEVER or (tag == "header" and not in_article):
@@ -179,6 +192,7 @@ class Page:
 
     def __init__(self, html: str):
         self.parent, self.tag, self.own, self.mark = [-1], ["#page"], [0], [0]
+        self.named: set[int] = set()  # containers that say they are an article
         self.pieces: list[tuple[int, str]] = []  # (node, text); node -1: a block begins or ends here
         self._stack, self._hidden = [0], [False]
         self._depths: dict[str, list[int]] = {}  # where in the stack the open elements of each tag are
@@ -224,6 +238,8 @@ class Page:
         self.tag.append(tag)
         self.own.append(0)
         self.mark.append(mark)
+        if _is_article(tag, attributes):
+            self.named.add(len(self.tag) - 1)
         hidden = self._hidden[-1] or mark == 2 and tag != "form"
         if tag in ("main", "article") and not hidden and not mark:  # a part of a page doesn't hold its article
             for node in reversed(self._stack):
@@ -362,6 +378,8 @@ def _content(page: Page) -> tuple[list[bool], list[bool]]:
         node = parent[node]
         path.append(node)
     around = [k for k, i in enumerate(path) if tag[i] == "article"] or [k for k, i in enumerate(path) if tag[i] == "main"]
+    if not around:  # the nearest one around the content, else the content itself
+        around = [k for k, i in enumerate(path) if k and i in page.named][:1] or [0] * (best in page.named)
     in_article = bool(around)
     above = set(path[1 : around[-1] + 1] if in_article else path[1:])
     least = min(m.density[i] for i in path if i == best or tag[i] not in ("html", "#page"))

@@ -107,6 +107,14 @@ def test_text_between_blocks_and_titles():
     assert html_text.extract(f"<main><h1>T</h1><article>{''.join(P)}</article></main>") == "T\n" + TEXT
 
 
+def test_a_container_that_says_it_is_an_article():
+    body = f"<h1>A title</h1><div>By Ann</div><div>{''.join(P)}</div><div>End</div>"
+    around = f"<body><div><a href=1>Home</a></div><div>Ad</div><div {{}}>{body}</div><div>Rights</div></body>"
+    for name in ("class='post single'", "id=story", "role=article"):
+        assert html_text.extract(around.format(name)) == f"A title\nBy Ann\n{TEXT}\nEnd"
+    assert html_text.extract(around.format("class=posts")) == f"A title\n{TEXT}"
+
+
 @pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "x", '<a "' * 250_000, "<a x='>" * 150_001 + '"<b>', "<p><object>" + "<div>" * 100_000, "<article>" * 100_000, "<svg>" * 200_000, "<b>" * 100_000 + "</i>" * 100_000])
 def test_time_is_linear(page):
     began = time.perf_counter()
