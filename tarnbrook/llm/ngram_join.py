@@ -40,8 +40,9 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = False
 SAMPLE_ROWS, SAMPLE_OF_TASK, SAMPLE_SHINGLES, HOT_ROWS, HOT_SHARE = 65_536, 128, 100_000, 4, 1 / 4096
 #: Bits of the hash that number the column blocks in which overlaps are summed up.
 BLOCK_BITS = 3
-#: Hashes held before a task emits its blocks: bounds its memory, not its work.
-FLUSH = 1_000_000
+#: Hashes held before a task emits its blocks, and hashes for each block at least, so that blocks are worth a row:
+#: bounds its memory, not its work.
+FLUSH, PER_BLOCK = 500_000, 4
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[np.ndarray]:
@@ -153,6 +154,20 @@ def _open_by_row(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(body, _U, n, 8), np.frombuffer(body, _U, n, 8 + 8 * n), np.frombuffer(body, np.uint32, n, 8 + 16 * n)
 
 
+def _run_body(keys: np.ndarray, counts: np.ndarray, columns: np.ndarray) -> bytes:
+    """Postings of a column block: rows, how many columns each has there (a byte, if that is enough for all), columns."""
+    width = np.uint8 if counts.max() < 1 << 8 else np.uint32
+    return np.array([len(keys), np.dtype(width).itemsize], _U).tobytes() + keys.tobytes() + counts.astype(width).tobytes() + columns.tobytes()
+
+
+def _open_run(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each posting."""
+    n, width = np.frombuffer(body, _U, 2).tolist()
+    counts = np.frombuffer(body, f"<u{width}", n, 16 + 8 * n)
+    at = 16 + (8 + width) * n
+    return np.repeat(np.frombuffer(body, _U, n, 16), counts), np.frombuffer(body, _U, (len(body) - at) // 8, at)
+
+
 def _postings(words: int, texts: str, shared, n_cols: int, n_rows: int, bits: int):
     """Blocks by column (kind 0: columns that aren't hot) and by row (kind 1: hot columns with their estimated counts,
     and under count 0 the size of each row). `shared` has the hot columns in ascending order, their counts, and new
@@ -184,7 +199,7 @@ def _postings(words: int, texts: str, shared, n_cols: int, n_rows: int, bits: in
                 own = d[at:end]
                 rows = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1))
                 blocks.append(int(to[at]))
-                bodies.append(np.uint64(len(rows)).tobytes() + key[own[rows]].tobytes() + np.diff(np.append(rows, len(own))).astype(np.uint32).tobytes() + h[at:end].tobytes())
+                bodies.append(_run_body(key[own[rows]], np.diff(np.append(rows, len(own))), h[at:end]))
             if blocks:
                 yield _block_rows(blocks, [0] * len(blocks), bodies)
 
@@ -200,9 +215,9 @@ def _postings(words: int, texts: str, shared, n_cols: int, n_rows: int, bits: in
                 keys.append(k)
                 held.append(s)
                 size += len(s)
-                if size >= FLUSH:
+                if size >= max(FLUSH, PER_BLOCK * n_cols):
                     yield from flush()
-                    held, keys, seen, size = [], [], set(), 0
+                    held, keys, size = [], [], 0
         if held:
             yield from flush()
 
@@ -221,10 +236,9 @@ def _count_columns(n_rows: int):
                 if kind:
                     through.append((kind - 1, body))
                     continue
-                n = int(np.frombuffer(body, _U, 1)[0])
-                counts = np.frombuffer(body, np.uint32, n, 8 + 8 * n)
-                k.append(np.repeat(np.frombuffer(body, _U, n, 8), counts))
-                h.append(np.frombuffer(body, _U, int(counts.sum(dtype=np.int64)), 8 + 12 * n))
+                keys, columns = _open_run(body)
+                k.append(keys)
+                h.append(columns)
             if through:
                 yield _block_rows([t for t, _ in through], [1] * len(through), [x for _, x in through])
         if not h:

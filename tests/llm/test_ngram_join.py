@@ -118,6 +118,15 @@ def test_one_doc_id_of_different_texts(spark):
     assert len(kept) == 5 and kept == sorted(((r.doc_id, r.text) for r in keep_one_of_each(docs.repartition(1)).collect()), key=str)
 
 
+@pytest.mark.parametrize("most", [3, 300])
+def test_posting_blocks_round_trip(most):
+    rng = np.random.default_rng(most)
+    keys, counts = rng.integers(0, 1 << 63, 20).astype(np.uint64), rng.integers(1, most + 1, 20)
+    columns = rng.integers(0, 1 << 63, int(counts.sum())).astype(np.uint64)
+    k, h = ngram_join._open_run(ngram_join._run_body(keys, counts, columns))
+    assert k.tolist() == np.repeat(keys, counts).tolist() and h.tolist() == columns.tolist()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.label for r in connected_components(edges).collect()}
