@@ -217,7 +217,8 @@ def write_ids(docs: DataFrame, folder: str | None = None, tokenizer: str | None
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = partitions_for(src)
-    found = src.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NULL_ID)), [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    shares = F.lit(np.arange(1, max(n, 2)) / max(n, 2))
+    found = src.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NULL_ID)), shares, max(10_000, 4 * n))).first()[0] or []
     cuts = spark.sparkContext.broadcast(np.array(sorted(found), dtype=np.int64))
     raw = materialize(src.mapInArrow(_encode(path, width, cuts), "part int, doc_id long, ids binary, counts binary"), "token-raw")
     counts = raw.where("counts is not null").select("counts").mapInArrow(_unpack, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
