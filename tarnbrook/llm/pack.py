@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Bounded-space online best fit: pieces come in input order; at most `open_bins` sequences are open, kept in a
-bitset over their free space, so the tightest that still fits is the lowest set bit at or above the piece's
-length. When no open sequence fits and all are in use, the fullest closes. Each task packs its own split and at its
+Bounded-space online best fit: pieces come in input order, those of a look-ahead of a fixed number from long to short; at
+most `open_bins` sequences are open, kept in a bitset over their free space, so the tightest that still fits is the
+lowest set bit at or above the piece's length. When no open sequence fits and all are in use, the fullest closes. Each task packs its own split and at its
 end closes all but the `open_bins` emptiest sequences. What those hold goes, as pieces from long to short, to a next
 level of tasks, each of which takes over from FAN_IN tasks and so has FAN_IN times as many open sequences, a fixed
 number that holds all it can be given; the last level is one task. Only there sequences end partly filled for want
@@ -20,6 +20,8 @@ from .common import materialize, trimmed
 from .tokens import default_path, encoder
 
 LENGTH, OPEN_BINS, FAN_IN = 2048, 512, 32
+#: Pieces looked ahead for each open sequence. Many more would let long pieces close sequences before short ones fill them.
+LOOK_AHEAD = 2
 SCHEMA = "doc_id long, piece int, start long, length long, sequence_id long, offset long, still_open boolean, ids binary"
 
 
@@ -107,17 +109,30 @@ def _split(items: list):
     yield one
 
 
+def looked_ahead(pieces, size_of, most: int):
+    """The pieces, those of each `most` in a row from long to short."""
+    held: list = []
+    for p in pieces:
+        held.append(p)
+        if len(held) >= most:
+            held.sort(key=size_of, reverse=True)
+            yield from held
+            held = []
+    held.sort(key=size_of, reverse=True)
+    yield from held
+
+
 def _pack(source, level: int, length: int, open_bins: int, handed_on: int):
     """source(batch) gives the pieces of an Arrow batch; the `handed_on` emptiest sequences stay open at the end."""
 
     def run(batches):
         bins, out = OpenBins(length, open_bins), _Writer(level)
-        for b in batches:
-            for p in source(b):
-                closed = bins.add(p[3], p)
-                if closed:
-                    out.put(closed, False)
-            yield from out.batches(2000)
+        for p in looked_ahead((p for b in batches for p in source(b)), lambda p: p[3], 1 if level else LOOK_AHEAD * open_bins):
+            closed = bins.add(p[3], p)
+            if closed:
+                out.put(closed, False)
+            if len(out.rows) > 2000:
+                yield from out.batches(2000)
         for i, items in enumerate(reversed(bins.rest())):
             out.put(items, i < handed_on)
         yield from out.batches(0)
