@@ -23,7 +23,7 @@ def _root(spark: SparkSession) -> str:
     """A folder for the stores of a query: in the cluster's shared folder, or in local mode, where none is set, one of
     this machine. Stores need a mounted path."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    if not shared and spark.sparkContext.master.startswith("local"):
+    if not shared and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         return tempfile.mkdtemp()
     path = urlparse(shared).path if shared.startswith(("file:", "/")) else ""
     if not path:
