@@ -10,9 +10,11 @@ import math
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 MAX_DEPTH = 127
 _INT = (-(1 << 63), (1 << 64) - 1)
 
@@ -109,6 +111,7 @@ def well_formed(text: str | None) -> bool:
 def well_formed_column(column: Column) -> Column:
     """well_formed() as one Arrow UDF: Spark's own readers turn down long strings, long or repeated keys and deep nesting,
     and accept text after the value."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("boolean")
     def check(texts: pd.Series) -> pd.Series:
@@ -134,6 +137,7 @@ _PARSED = "struct<id:string,hash:string,data_json:string,error:string>"
 
 def parse_records(raw: DataFrame, column: str = "value") -> DataFrame:
     """Adds `record`: the parts of each JSON text, or the error. Null text is an error. One Arrow UDF, at the border only."""
+    ship(raw.sparkSession)
 
     @F.pandas_udf(_PARSED)
     def parse(texts: pd.Series) -> pd.DataFrame:

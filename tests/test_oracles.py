@@ -1,6 +1,8 @@
 """Every query with SQL gives DuckDB's rows and column names."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -41,3 +43,19 @@ def test_lookup_filter_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([("a", "h", "{}")], "id string, hash string, data_json string").write.parquet(str(tmp_path / "s"))
     plan = ops.get_by_id(spark.read.parquet(str(tmp_path / "s")), "a")._jdf.queryExecution().toString()
     assert "EqualTo(id,a)" in plan
+
+
+def test_workers_need_no_path_to_the_package(tmp_path):
+    """Queries in a session of its own, from another folder: what Python workers import is sent to them."""
+    code = f"""
+import sys
+sys.path.insert(0, {os.getcwd()!r})
+from pyspark.sql import SparkSession
+from tarnbrook.plans import registry
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("reset_keeps_target", "scan_skips_corrupt", "json_text_round_trip", "streaming_ingest"):
+    print(name, registry.QUERIES[name](spark, {DATA!r}).count() > 0)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.count("True") == 4, out.stderr[-2000:]
